@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import decontaminate, langid, secrets
+from ._scan import ordered, rendered
 from .simhash import simhash_groups
 
 
@@ -13,11 +15,38 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = secrets.find_secrets(docs, secrets.train(docs), ["doc_id"])
+    count = "CAST(size(filter(found, x -> x.kind = '{0}')) AS bigint) AS n_{0}".format
+    return found.selectExpr(
+        "doc_id",
+        *map(count, secrets.BASE),
+        f"sha2({rendered(ordered('found', secrets.BASE, by_kind=False))}, 256) AS base_sha256",
+        f"{rendered(ordered('found', secrets.KINDS, by_kind=False))} AS spans",
+    )
+
+
+def op5_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(~langid.held_out()))
+    return langid.identify(docs, model, ["doc_id"]).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op7_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"))
 
 
+def op10_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_markov_secrets": op4_markov_secrets,
+    "op5_ppm_language": op5_ppm_language,
     "op7_simhash_anchors": op7_simhash_anchors,
+    "op10_minhash_containment": op10_minhash_containment,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op10_minhash_containment": decontaminate.ORACLE_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
