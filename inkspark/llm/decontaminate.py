@@ -41,18 +41,22 @@ def _strings(array: str, n: str) -> str:
     return _grams(array, n, f"array_join(slice({array}, i + 1, {n}), ' ')")
 
 
+def _bound(expr: str, name: str, body: str) -> str:
+    """SQL of ``body`` with ``name`` bound to ``expr``, which is then evaluated once a row and not once a use."""
+    return f"transform(array({expr}), {name} -> {body})[0]"
+
+
 def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def item_shingles(items: DataFrame, item_col: str, text_col: str, shingle: int, threshold: float) -> DataFrame:
     """``(item_id, len, n, need, size_class, grams, hashes)``: distinct shingles of each item that has words."""
-    cut = items.select(F.col(item_col).cast("long").alias("item_id"), words(F.col(text_col)).alias("w"))
+    cut = stash(items.select(F.col(item_col).cast("long").alias("item_id"), words(F.col(text_col)).alias("w")), "words")
     cut = cut.where("item_id IS NOT NULL AND size(w) > 0").withColumn("len", F.least(F.size("w"), F.lit(shingle)))
-    cut = cut.withColumn("h", F.expr("transform(w, x -> xxhash64(x))"))
     by_len = " ".join(f"WHEN {n} THEN {_hashes('h', n)}" for n in range(1, shingle + 1))
     cut = cut.selectExpr(
-        "item_id", "len", f"array_distinct({_strings('w', 'len')}) AS grams", f"array_distinct(CASE len {by_len} END) AS hashes"
+        "item_id", "len", f"array_distinct({_strings('w', 'len')}) AS grams", f"{_bound('transform(w, x -> xxhash64(x))', 'h', f'array_distinct(CASE len {by_len} END)')} AS hashes"
     )
     need = F.ceil(F.lit(threshold) * F.size("grams") - 1e-9).cast("int")
     return cut.withColumn("n", F.size("grams")).withColumn("need", need).withColumn("size_class", F.floor(F.log2("n")))
@@ -83,16 +87,17 @@ def contained_items(
         "sketch",
     )
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), words(docs[text_col]).alias("w")).where("doc_id IS NOT NULL")
-    hashed = rows.select("doc_id", F.expr("transform(w, x -> xxhash64(x))").alias("h"))
     parts = ", ".join(_hashes("h", n) for n in lens) or "array(0L)"
-    hashed = hashed.select("doc_id", F.expr(f"array_distinct(concat({parts}))").alias("hashes"))
-    probe = hashed.select("doc_id", F.size("hashes").alias("size"), F.explode("hashes").alias("hash"))
+    hashes = _bound("transform(w, x -> xxhash64(x))", "h", f"array_distinct(concat({parts}))")
+    # size and hashes come from one evaluation; the size goes along with each row
+    hashed = rows.select("doc_id", F.inline(F.expr(_bound(hashes, "a", "array(struct(size(a) AS size, a AS hashes))"))))
+    probe = hashed.select("doc_id", "size", F.explode("hashes").alias("hash"))
     found = probe.join(_small(sketch), "hash").where("size >= need").select("doc_id").distinct()
     found = stash(found, "candidates")
 
     texts = rows.join(_small(found), "doc_id", "left_semi")
     grams = ", ".join(_strings("w", str(n)) for n in lens) or "array('')"
-    grams = texts.select("doc_id", F.explode(F.expr(f"array_distinct(concat({grams}))")).alias("gram"))
+    grams = texts.select("doc_id", F.explode(F.expr(_bound("w", "w", f"array_distinct(concat({grams}))"))).alias("gram"))
     wanted = stash(cut.select("item_id", F.explode("grams").alias("gram")).distinct(), "shingles")
     sizes = wanted.groupBy("item_id").agg(F.count("*").alias("n_shingles"))
     shared = grams.join(_small(wanted), "gram").distinct().groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
@@ -104,9 +109,9 @@ def contained_items(
 
 
 ORACLE_SQL = r"""
-WITH d AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), x -> x <> '') AS w
+WITH d AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w
            FROM documents WHERE text IS NOT NULL),
-     i AS (SELECT item_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), x -> x <> '') AS w
+     i AS (SELECT item_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w
            FROM benchmark WHERE text IS NOT NULL),
      ln AS (SELECT DISTINCT least(len(w), 5) AS n FROM i WHERE len(w) > 0),
      ds AS (SELECT DISTINCT id, array_to_string(w[k : k + n - 1], ' ') AS g
