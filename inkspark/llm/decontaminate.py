@@ -120,5 +120,5 @@ WITH d AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '
             FROM (SELECT id, w, least(len(w), 5) AS n, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS k FROM i WHERE len(w) > 0)),
      n AS (SELECT id, count(*) AS n_shingles FROM it GROUP BY id)
 SELECT ds.id AS doc_id, it.id AS item_id, n_shingles, count(*) AS n_shared, count(*) / n_shingles AS containment
-FROM ds JOIN it USING (g) JOIN n ON n.id = it.id GROUP BY ALL HAVING count(*) >= ceil(0.8 * n_shingles - 1e-9)
+FROM ds JOIN it USING (g) JOIN n ON n.id = it.id GROUP BY ds.id, it.id, n_shingles HAVING count(*) >= ceil(0.8 * n_shingles - 1e-9)
 """

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, secrets
+from . import decontaminate, langid, pii, secrets
 from ._scan import ordered, rendered
 from .simhash import simhash_groups
 
@@ -37,6 +37,17 @@ def op7_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"))
 
 
+def op8_deobfuscated_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(_table(spark, sf_dir, "documents"), ["doc_id"])
+    count = "CAST(size(filter(found, x -> x.kind = '{0}')) AS bigint) AS n_{0}".format
+    return found.selectExpr(
+        "doc_id",
+        *map(count, pii.BASE),
+        f"sha2({rendered(ordered('found', pii.BASE, by_kind=True))}, 256) AS base_sha256",
+        f"{rendered(ordered('found', pii.KINDS, by_kind=True))} AS spans",
+    )
+
+
 def op10_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -45,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_markov_secrets": op4_markov_secrets,
     "op5_ppm_language": op5_ppm_language,
     "op7_simhash_anchors": op7_simhash_anchors,
+    "op8_deobfuscated_pii": op8_deobfuscated_pii,
     "op10_minhash_containment": op10_minhash_containment,
 }
 ORACLE_SQL: dict[str, str] = {
