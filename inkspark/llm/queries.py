@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, langid, pii, secrets
+from . import decontaminate, langid, packing, pii, secrets
 from ._scan import ordered, rendered
 from .simhash import simhash_groups
 
@@ -15,6 +17,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer() -> str:
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op4_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = secrets.find_secrets(docs, secrets.train(docs), ["doc_id"])
@@ -48,6 +54,11 @@ def op8_deobfuscated_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_tournament_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.packed(_table(spark, sf_dir, "documents"), _tokenizer())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op10_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -57,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ppm_language": op5_ppm_language,
     "op7_simhash_anchors": op7_simhash_anchors,
     "op8_deobfuscated_pii": op8_deobfuscated_pii,
+    "op9_tournament_packing": op9_tournament_packing,
     "op10_minhash_containment": op10_minhash_containment,
 }
 ORACLE_SQL: dict[str, str] = {
