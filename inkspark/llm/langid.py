@@ -21,10 +21,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ._arrow import chunks, text_bytes
+from ._stash import stash
 
 UNKNOWN = "und"
 #: Labelled texts a language that the statistics are gathered from, whole; a language with fewer gives all.
 SAMPLE_TEXTS = 1500
+#: Languages whose sizes may be broadcast (some 50 bytes each); more are shuffled, with the texts.
+BROADCAST_LANGS = 10_000
 START = b"  "
 FOLD = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 LETTER = np.array([97 <= (b | 32) <= 122 for b in range(256)])
@@ -38,7 +41,8 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, bo
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
     share = F.lit(float(bound)) / F.col("n")
     mark = (F.xxhash64(F.coalesce("id", F.lit("")), F.lit(5)).bitwiseAND((1 << 30) - 1)) / float(1 << 30)
-    picked = rows.join(sizes, "lang").withColumn("mark", mark).where(F.col("mark") < share)
+    sizes = stash(sizes, "languages")
+    picked = rows.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_LANGS else sizes, "lang").withColumn("mark", mark).where(F.col("mark") < share)
     return picked.select("lang", "text")
 
 
