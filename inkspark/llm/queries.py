@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, packing, pii, secrets
+from . import decontaminate, langid, licenses, packing, pii, secrets
 from ._scan import ordered, rendered
 from .simhash import simhash_groups
 
@@ -21,6 +21,16 @@ def _tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op3_license_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.find_licenses(_table(spark, sf_dir, "documents"), ["doc_id"])
+    labels = F.array_sort(F.array_union("base_labels", F.expr("filter(matches, m -> m.best).label")))
+    score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce(F.array_max("matches.containment"), F.lit(0.0)))
+    return found.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word",
+        F.array_join("base_labels", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), score.alias("score"),
+    )
+
+
 def op4_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = secrets.find_secrets(docs, secrets.train(docs), ["doc_id"])
@@ -64,6 +74,7 @@ def op10_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_license_set_join": op3_license_set_join,
     "op4_markov_secrets": op4_markov_secrets,
     "op5_ppm_language": op5_ppm_language,
     "op7_simhash_anchors": op7_simhash_anchors,
