@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, packing, pii, secrets
+from . import decontaminate, langid, licenses, packing, pii, secrets, topk
 from ._scan import ordered, rendered
 from .simhash import simhash_groups
 
@@ -21,6 +21,10 @@ def _tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(topk.integer_vectors(_table(spark, sf_dir, "embeddings")), "vec_id % 50 = 0")
+
+
 def op3_license_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.find_licenses(_table(spark, sf_dir, "documents"), ["doc_id"])
     labels = F.array_sort(F.array_union("base_labels", F.expr("filter(matches, m -> m.best).label")))
@@ -74,6 +78,7 @@ def op10_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_threshold_topk": op2_threshold_topk,
     "op3_license_set_join": op3_license_set_join,
     "op4_markov_secrets": op4_markov_secrets,
     "op5_ppm_language": op5_ppm_language,
@@ -83,5 +88,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_minhash_containment": op10_minhash_containment,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op2_threshold_topk": topk.ORACLE_SQL,
     "op10_minhash_containment": decontaminate.ORACLE_SQL,
 }
