@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, packing, pii, secrets, topk
+from . import decontaminate, langid, licenses, packing, pages, pii, secrets, topk
 from ._scan import ordered, rendered
 from .simhash import simhash_groups
 
@@ -53,6 +53,11 @@ def op5_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, ["doc_id"]).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op6_mincut_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pages.extract(_table(spark, sf_dir, "pages"), ["page_id", "url"])
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"))
 
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_set_join": op3_license_set_join,
     "op4_markov_secrets": op4_markov_secrets,
     "op5_ppm_language": op5_ppm_language,
+    "op6_mincut_pages": op6_mincut_pages,
     "op7_simhash_anchors": op7_simhash_anchors,
     "op8_deobfuscated_pii": op8_deobfuscated_pii,
     "op9_tournament_packing": op9_tournament_packing,
