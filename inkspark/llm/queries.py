@@ -18,6 +18,30 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer() -> str:
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_mixing_range_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "ids")
+    idfiles.write_ids(_table(spark, sf_dir, "documents"), path, _tokenizer())
+    return idfiles.read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op2_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(topk.integer_vectors(_table(spark, sf_dir, "embeddings")), "vec_id % 50 = 0")
+
+
+def op3_license_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.find_licenses(_table(spark, sf_dir, "documents"), ["doc_id"])
+    labels = F.array_sort(F.array_union("base_labels", F.expr("filter(matches, m -> m.best).label")))
+    score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce(F.array_max("matches.containment"), F.lit(0.0)))
+    return found.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word",
+        F.array_join("base_labels", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), score.alias("score"),
+    )
+
+
 def op4_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = secrets.find_secrets(docs, secrets.train(docs), ["doc_id"])
