@@ -7,9 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: Bytes of text that a vectorised step looks at together; bounds a worker's scratch memory.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, memoryview]:
@@ -45,3 +46,16 @@ def code_points(data: np.ndarray) -> np.ndarray:
     out = np.zeros(len(data) + 1, np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=out[1:])
     return out
+
+
+#: Rows that travel to a Python worker together; texts are long, so fewer than the session's default.
+BATCH_ROWS = 2000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, after lowering its session's rows per Arrow batch to BATCH_ROWS: this bounds what a worker and its JVM hold."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        df.sparkSession.conf.set(key, BATCH_ROWS)
+    return df

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ._arrow import chunks, text_bytes
+from ._arrow import bounded, chunks, text_bytes
 
 SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 ARROW_SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -96,7 +96,7 @@ def scan(docs: DataFrame, find: Callable[[Block], Found], keep: list[str], text_
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), spans, type=ARROW_SPAN)
             yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], lists], names=schema.names)
 
-    return docs.select(*keep, docs[text_col].cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, docs[text_col].cast("string").alias("__text")).transform(bounded).mapInArrow(run, schema)
 
 
 def ordered(column: str, kinds: list[str], by_kind: bool) -> str:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import idcoder
-from ._arrow import chunks
+from ._arrow import bounded, chunks
 from ._tokens import ID_BYTES, encoder
 
 END_ID = 1
@@ -77,7 +77,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id"
         if held:
             yield record()
 
-    rows.mapInArrow(run, FILE).write.parquet(path)
+    rows.transform(bounded).mapInArrow(run, FILE).write.parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -102,6 +102,6 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                     names=["part", "doc_id", "at", "ids", "n_tokens"],
                 )
 
-    decoded = files.select("part", "before", "docs", "data").mapInArrow(run, "part long, doc_id long, at long, ids binary, n_tokens long")
+    decoded = files.select("part", "before", "docs", "data").transform(bounded).mapInArrow(run, "part long, doc_id long, at long, ids binary, n_tokens long")
     placed = decoded.join(F.broadcast(starts), "part")  # one row a part: at most some thousands
     return placed.select("doc_id", (F.col("part_start") + F.col("at")).alias("start"), "ids", "n_tokens")

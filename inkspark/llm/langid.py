@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from ._arrow import chunks, text_bytes
+from ._arrow import bounded, chunks, text_bytes
 from ._stash import stash
 
 UNKNOWN = "und"
@@ -62,7 +62,7 @@ def gram_counts(rows: DataFrame) -> DataFrame:
                 gram, n = np.unique(grams, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
-    return rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return rows.transform(bounded).mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 class Model:
@@ -175,7 +175,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, text_
             langs, score = predict(held.value, [bytes(view[i:j]) for i, j in zip(at, at[1:], strict=False)])
             yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(score)], names=schema.names)
 
-    return docs.select(*keep, docs[text_col].cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, docs[text_col].cast("string").alias("__text")).transform(bounded).mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

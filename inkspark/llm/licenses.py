@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._arrow import chunks, text_bytes
+from ._arrow import bounded, chunks, text_bytes
 from ._scan import Block
 
 WORD = np.array([48 <= b <= 57 or 97 <= b <= 122 or b >= 128 for b in range(256)])
@@ -68,7 +68,7 @@ def word_frequencies(docs: DataFrame, vocabulary: list[bytes], text_col: str = "
             total.update({w: whole[w] for w in wanted if w in whole})
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
 
-    counts = docs.select(docs[text_col].cast("string").alias("text")).mapInArrow(run, "word binary, n long")
+    counts = docs.select(docs[text_col].cast("string").alias("text")).transform(bounded).mapInArrow(run, "word binary, n long")
     return {bytes(r[0]): r[1] for r in counts.groupBy("word").agg(F.sum("n")).collect()}
 
 
@@ -180,4 +180,4 @@ def find_licenses(
                 names=schema.names,
             )
 
-    return docs.select(*keep, docs[text_col].cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, docs[text_col].cast("string").alias("__text")).transform(bounded).mapInArrow(run, schema)

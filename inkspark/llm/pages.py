@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ._arrow import chunks
+from ._arrow import bounded, chunks
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|math|iframe|object|head|title|textarea|select)\b.*?(?:</(?P=raw)\s*>|\Z)
@@ -242,4 +242,4 @@ def extract(pages: DataFrame, keep: list[str] | None = None, html_col: str = "ht
             new = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))]
             yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *new], names=schema.names)
 
-    return pages.select(*keep, pages[html_col].cast("string").alias("__html")).mapInArrow(run, schema)
+    return pages.select(*keep, pages[html_col].cast("string").alias("__html")).transform(bounded).mapInArrow(run, schema)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import chunks
+from ._arrow import bounded, chunks
 from ._scan import Block, Found, byte_class, scan
 
 BASE = ["assign", "access", "hex"]
@@ -165,4 +165,4 @@ def redact(docs: DataFrame, ratio: np.ndarray, text_col: str = "text", mark: str
             columns = [*part.columns[:where], new.cast(column.type), *part.columns[where + 1 :]]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.transform(bounded).mapInArrow(run, schema)

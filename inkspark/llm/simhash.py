@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from ._arrow import chunks, text_bytes
+from ._arrow import bounded, chunks, text_bytes
 from ._stash import stash
 from .components import components
 
@@ -75,7 +75,7 @@ def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(bits.view(np.int64))], names=["doc_id", "fp"])
 
     kept = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return kept.mapInArrow(run, "doc_id long, fp long")
+    return kept.transform(bounded).mapInArrow(run, "doc_id long, fp long")
 
 
 def _parity_masks() -> list[int]:
