@@ -32,9 +32,10 @@ def capped_vocabulary(toks: DataFrame, cap: int) -> DataFrame:
 
 
 def _pairs(text: Column) -> Column:
-    """Adjacent character pairs of a string."""
-    cut = lambda s: F.when(F.length(s) >= 2, F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.substring(s, i, 2))).otherwise(F.array().cast("array<string>"))
-    return F.transform(F.array(text), cut)[0]  # binds the text, so that it is evaluated once and not once a pair
+    """Adjacent character pairs of a string; its characters are split once, so the cost is linear in its length."""
+    chars = F.array_remove(F.split(text, ""), "")
+    cut = lambda c: F.when(F.size(c) >= 2, F.transform(F.sequence(F.lit(1), F.size(c) - 1), lambda i: F.concat(F.get(c, i - 1), F.get(c, i)))).otherwise(F.array().cast("array<string>"))
+    return F.transform(F.array(chars), cut)[0]
 
 
 def _probabilities(pairs: DataFrame) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import corpus
+from . import candidates, corpus
 
-MODULES = (corpus,)
+MODULES = (corpus, candidates)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
