@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import candidates, corpus
+from . import candidates, corpus, raster
 
-MODULES = (corpus, candidates)
+MODULES = (corpus, candidates, raster)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
