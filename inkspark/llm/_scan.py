@@ -46,6 +46,8 @@ class Block:
 
     def runs(self, member: np.ndarray, least: int) -> list[tuple[int, int]]:
         """Maximal runs of at least ``least`` bytes of the class ``member`` (bool[256])."""
+        if len(self.bytes) < least:
+            return []
         inside = member[self.bytes]
         core, have = inside, 1
         while have < least:  # after this, core[i] tells that the ``have`` bytes from i on are members
