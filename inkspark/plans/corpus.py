@@ -130,7 +130,7 @@ LATTICE = """pl AS (SELECT word, i - 1 AS pos, substring(word, i, 1) AS label, C
     FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM bw WHERE length(word) BETWEEN 2 AND 6)),
 best AS (SELECT *, 0.5 * p / sum(p) OVER (PARTITION BY prev) AS share FROM (
     SELECT prev, next, p, row_number() OVER (PARTITION BY prev ORDER BY p DESC, next) AS ord FROM bg) WHERE ord <= 3),
-lat AS (SELECT word, pos, 0 AS ord, prev, label, 0.5 AS conf FROM pl
+lat AS (SELECT word, pos, 0 AS ord, prev, label, 0.5::DOUBLE AS conf FROM pl
     UNION ALL SELECT word, pos, ord, pl.prev, next, share FROM pl JOIN best ON pl.prev = best.prev)"""
 SQL = {
     "word_freq_topn": f"WITH {TOKENS} SELECT word, count(*) AS cnt FROM tok GROUP BY word ORDER BY cnt DESC, min(place) LIMIT {TOP_WORDS}",

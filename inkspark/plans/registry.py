@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import candidates, corpus, glyphs, raster
+from . import candidates, corpus, decode, glyphs, raster
 
-MODULES = (corpus, candidates, raster, glyphs)
+MODULES = (corpus, candidates, raster, glyphs, decode)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
