@@ -18,10 +18,14 @@ def strip_marks(text: Column, marks: str = HARAKAT) -> Column:
     return F.regexp_replace(text, f"[{marks}]", "")
 
 
-@F.pandas_udf("string")
-def nfc(text: pd.Series) -> pd.Series:
-    """Canonical composition; there is no built-in for it."""
-    return text.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))
+def nfc(text: Column) -> Column:
+    """Canonical composition; there is no built-in for it. Null stays null."""
+
+    @F.pandas_udf("string")
+    def compose(part: pd.Series) -> pd.Series:
+        return part.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))
+
+    return compose(text)
 
 
 def in_script(char: Column, script: str) -> Column:

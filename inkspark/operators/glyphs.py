@@ -229,7 +229,7 @@ def assigned(clusters: DataFrame, boxes: DataFrame) -> DataFrame:
 
 
 def dot_features(clusters: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, above, below, any, spread): dots above and below, and the deviation of cx of two or more clusters."""
+    """(keys, above, below, has_any, spread): dots above and below, and the deviation of cx of two or more clusters."""
     side = lambda p: F.sum(F.when(F.col("position") == p, F.col("size")).otherwise(0)).cast("long")
     spread = F.when(F.count("*") > 1, F.stddev_pop("cx")).otherwise(0.0)
-    return clusters.groupBy(*keys).agg(side("above").alias("above"), side("below").alias("below"), F.lit(1).alias("any"), spread.alias("spread"))
+    return clusters.groupBy(*keys).agg(side("above").alias("above"), side("below").alias("below"), F.lit(1).alias("has_any"), spread.alias("spread"))

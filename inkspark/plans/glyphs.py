@@ -50,7 +50,7 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def glyph_components(spark, sf_dir):
-    return _rounded(_parts(spark, sf_dir)[1], "cx", "cy")
+    return _rounded(_parts(spark, sf_dir)[1], "cx", "cy").withColumnsRenamed({"left": "x1", "top": "y1"})
 
 
 def component_noise_filter(spark, sf_dir):
@@ -134,14 +134,14 @@ def _near(source: str, r1: int, r2: int, value: str) -> str:
 
 
 SQL = {
-    "glyph_components": f'{COMP} SELECT glyph, comp, "left", top, width, height, area, round(cx, 6) AS cx, round(cy, 6) AS cy FROM st',
+    "glyph_components": f'{COMP} SELECT glyph, comp, "left" AS x1, top AS y1, width, height, area, round(cx, 6) AS cx, round(cy, 6) AS cy FROM st',
     "component_noise_filter": f"{COMP} SELECT glyph, comp, area FROM st JOIN ahs USING (glyph) WHERE area >= greatest(3, 0.01 * middle) AND greatest(width, height) / greatest(least(width, height), 1) <= 25",
     "baseline_mode": f"{BASE} SELECT * FROM bl",
     "dot_clusters": f"{DOTS} SELECT glyph, round(cx, 6) AS cx, round(cy, 6) AS cy, size, position FROM cp",
     "dot_char_assignment": f"""{DOTS}, bx(char, x1, x2) AS (VALUES (0, 4, 8), (1, 0, 4)) SELECT glyph, round(cx, 6) AS cx, round(cy, 6) AS cy, size, position, char
 FROM (SELECT *, abs(cx - (x1 + x2) / 2) AS d FROM cp, bx) WHERE d <= 4 QUALIFY row_number() OVER (PARTITION BY glyph, cx, cy ORDER BY d, char) = 1""",
     "dot_feature_vector": f"""{DOTS} SELECT glyph, CAST(sum(CASE WHEN position = 'above' THEN size ELSE 0 END) AS BIGINT) AS above, CAST(sum(CASE WHEN position = 'below' THEN size ELSE 0 END) AS BIGINT) AS below,
-1 AS "any", round(CASE WHEN count(*) > 1 THEN stddev_pop(cx) ELSE 0 END, 6) AS spread FROM cp GROUP BY glyph""",
+1 AS has_any, round(CASE WHEN count(*) > 1 THEN stddev_pop(cx) ELSE 0 END, 6) AS spread FROM cp GROUP BY glyph""",
     "otsu_threshold": f"""WITH {GRAY}, b AS (SELECT glyph, v, count(*) AS n FROM g GROUP BY glyph, v),
 s AS (SELECT *, sum(n) OVER (PARTITION BY glyph ORDER BY v) AS w0, sum(n * v) OVER (PARTITION BY glyph ORDER BY v) AS s0, sum(n) OVER (PARTITION BY glyph) AS w, sum(n * v) OVER (PARTITION BY glyph) AS s FROM b),
 t AS (SELECT glyph, v AS threshold FROM (SELECT *, round(CASE WHEN w = w0 THEN 0 ELSE w0 * (w - w0) * (s0 / w0 - (s - s0) / (w - w0)) ** 2 END, 6) AS q FROM s) QUALIFY row_number() OVER (PARTITION BY glyph ORDER BY q DESC, v) = 1)
