@@ -10,6 +10,7 @@ import re
 import string
 import unicodedata
 from bisect import bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -36,6 +37,8 @@ DIGIT_WORDS = {
     for word in words.split()
 }
 LEAST_SPELLED = 7
+# Characters without width, which split an identifier unseen.
+UNSEEN = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 _WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _LOOKALIKE = re.escape("".join(HOMOGLYPHS))
 RULES = re.compile(
@@ -44,7 +47,7 @@ RULES = re.compile(
     |(?P<dot>\s*[(\[{{<]\s*(?:dot|punkt|punto|point|\.)\s*[)\]}}>]\s*)
     |(?P<plain_dot>(?<=\w)\s+(?:dot|punkt|punto)\s+(?=\w))
     |(?P<digits>(?<!\w)(?:(?:plus|\+)[\s,.-]*)?(?:{_WORD})(?:[\s,.-]+(?:{_WORD})(?!\w)){{{LEAST_SPELLED - 1},}})
-    |(?P<glyph>(?-i:[{_LOOKALIKE}！-～]|(?![0-9])\d))""",
+    |(?P<glyph>(?-i:[{_LOOKALIKE}！-～]|(?![0-9])\d|[{UNSEEN}]))""",
     re.I | re.X,
 )
 _PART = re.compile(rf"(?:plus|\+)|{_WORD}", re.I)
@@ -92,6 +95,8 @@ def base_spans(block: Block) -> Found:
 def _glyph(char: str) -> str:
     if char in HOMOGLYPHS:
         return HOMOGLYPHS[char]
+    if char in UNSEEN:
+        return ""
     if 0xFF01 <= ord(char) <= 0xFF5E:
         return chr(ord(char) - 0xFEE0)
     return str(unicodedata.digit(char, "")) or char
@@ -143,6 +148,7 @@ def disguised_rows(block: Block) -> set[int]:
     """Rows where a rule of the transducer can fire in a way that makes an identifier."""
     lower = block.data.lower()
     hits = [k for word in (b"dot", b"punkt", b"punto", b"(at", b"[at", b"{at", b"<at", b"( at", b"[ at", b"(@", b"[@", b"{@", b"arroba") for k in block.finds(word, lower)]
+    hits += [k for char in UNSEEN for k in block.finds(char.encode())]
     hits += np.flatnonzero(_LEADS[block.bytes]).tolist()
     words = [(k, k + len(w)) for w in (x.encode() for x in DIGIT_WORDS) for k in block.finds(w, lower)]
     if len(words) >= LEAST_SPELLED:
@@ -156,19 +162,30 @@ def disguised_rows(block: Block) -> set[int]:
     return set(block.rows(hits).tolist()) if hits else set()
 
 
+def spelled_numbers(text: str) -> Iterator[tuple[int, int]]:
+    """Stretches of 8 to 15 digits in words: telephone numbers, with or without a plus."""
+    for m in RULES.finditer(text):
+        if m.lastgroup == "digits" and 8 <= sum(p[0].lower() not in ("plus", "+") for p in _PART.finditer(m[0])) <= 15:
+            yield m.span()
+
+
 def hidden_spans(block: Block) -> Found:
+    """Identifiers behind a disguise; a spelled number that no other identifier holds is a telephone number."""
     out: Found = []
     for row in disguised_rows(block):
         source = block.texts[row].decode("utf-8", "replace")
         text, pieces = normalised(source)
         if not pieces:
             continue
-        other = Block([text.encode()])
+        other, spans = Block([text.encode()]), []
         for kind, a, b in base_spans(other):
             x, y = (int(p) for p in other.points(np.array([a, b]), np.array([0, 0])))
             if found := to_source(pieces, x, y):
-                start, end = (len(source[:p].encode()) + int(block.starts[row]) for p in found)
-                out.append((f"hidden_{kind}", start, end))
+                spans.append((f"hidden_{kind}", *found))
+        for start, end in spelled_numbers(source):
+            if not any(a < end and b > start for _, a, b in spans):
+                spans.append(("hidden_phone", start, end))
+        out += [(kind, *(len(source[:p].encode()) + int(block.starts[row]) for p in place)) for kind, *place in spans]
     return out
 
 

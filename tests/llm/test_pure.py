@@ -148,6 +148,10 @@ def test_base_spans(operator):
         ("é bob at foo dot org now", "hidden_email", "bob at foo dot org"),
         ("call plus four nine one two three four five six seven eight today", "hidden_phone", "plus four nine one two three four five six seven eight"),
         ("р@еxample.cоm", "hidden_email", "р@еxample.cоm"),
+        ("call five five five one two three four nine now", "hidden_phone", "five five five one two three four nine"),
+        ("jane dot doe at example dot com", "hidden_email", "jane dot doe at example dot com"),
+        ("x bo\u200bb@c\u200bd.ef y", "hidden_email", "bo\u200bb@c\u200bd.ef"),
+        ("one two three four", None, None),
         ("look at example.com and at dot", None, None),
         ("mail a.b@c.de", None, None),
     ],
