@@ -101,6 +101,9 @@ def label_dim(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(label_rows(), "idx int, label string, base string, position string, glyph string, exp_above int, exp_below int")
 
 
+def body_rows() -> list[tuple[str, int, int, str]]:
+    return [(body, int(above), int(below), letter) for body, above, below, letter in _rows(BODIES)]
+
+
 def body_dim(spark: SparkSession) -> DataFrame:
-    rows = [(body, int(above), int(below), letter) for body, above, below, letter in _rows(BODIES)]
-    return spark.createDataFrame(rows, "body string, above int, below int, letter string")
+    return spark.createDataFrame(body_rows(), "body string, above int, below int, letter string")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions.labels import POSITIONS, body_dim, label_dim, label_rows
+from ..functions.labels import POSITIONS, body_dim, body_rows, label_dim, label_rows
 from ..operators import candidates as K
 from ..operators import evaluate as E
 from . import corpus
@@ -142,6 +142,8 @@ d AS (SELECT vec_id, label, class, sqrt(sum((x - m) * (x - m))) AS d FROM c JOIN
 sc AS (SELECT vec_id, label, class, exp(-d) / sum(exp(-d)) OVER (PARTITION BY vec_id) AS p FROM d),
 rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, class DESC) AS INTEGER) AS rank FROM sc)"""
 SQL = {
+    "body_letters": f"""WITH b(body, above, below, letter) AS ({_values(body_rows())}), s AS (SELECT body, above, below FROM (SELECT DISTINCT body FROM b), range(4) a(above), range(3) c(below))
+SELECT s.body, CAST(s.above AS INTEGER) AS above, CAST(s.below AS INTEGER) AS below, letter FROM s LEFT JOIN b ON b.body = s.body AND b.above = s.above AND b.below = s.below""",
     "label_unicode_lookup": f"{LAB} SELECT DISTINCT lab.label, {_GLYPH} AS glyph FROM lab LEFT JOIN dim ON lab.label = dim.label",
     "merge_candidates": f"""{LAB}, g AS (SELECT word, pos, conf, {_GLYPH} AS glyph FROM lab LEFT JOIN dim ON lab.label = dim.label),
 s AS (SELECT word, pos, glyph, sum(conf) AS conf FROM g WHERE glyph <> '_' GROUP BY ALL), t AS (SELECT *, sum(conf) OVER (PARTITION BY word, pos) AS total FROM s)
