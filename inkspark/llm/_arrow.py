@@ -27,8 +27,8 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, memoryview]:
     return np.frombuffer(view, np.uint8), off - off[0], view
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of about CHUNK_BYTES of text; a longer row comes alone, whole."""
+def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", least: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about ``least`` bytes of text; a longer row comes alone, whole."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -36,7 +36,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
         size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at, done = 0, 0
         while at < batch.num_rows:
-            end = max(at + 1, int(np.searchsorted(size, done + CHUNK_BYTES, "right")))
+            end = max(at + 1, int(np.searchsorted(size, done + least, "right")))
             yield batch.slice(at, end - at)
             at, done = end, int(size[end - 1])
 

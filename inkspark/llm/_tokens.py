@@ -16,6 +16,8 @@ from tokenizers import Tokenizer
 #: Chunks in a process's memo (some 250 bytes each), at most.
 MEMO_CHUNKS = 600_000
 ID_BYTES = 4
+#: Bytes of text that are encoded together: new chunks are found once for all of them.
+ENCODE_BYTES = 4 << 20
 
 
 def _byte_letters() -> dict[int, str]:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrow import chunks
-from ._tokens import ID_BYTES, encoder
+from ._tokens import ENCODE_BYTES, ID_BYTES, encoder
 
 SIZE = 4096
 END_ID = 2
@@ -130,7 +130,7 @@ def packed(
     def run(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         ids: list[bytes] = []
-        for part in chunks(table.to_batches()):
+        for part in chunks(table.combine_chunks().to_batches(), least=ENCODE_BYTES):
             ids += [x + end for x in encoder(tokenizer).encode([t or "" for t in part.column(1).to_pylist()])]
         names, lengths, out = table["doc_id"].to_pylist(), [len(x) // ID_BYTES for x in ids], []
         for nth, sequence in enumerate(pack(lengths, size)):
