@@ -51,6 +51,17 @@ RULES = re.compile(
     re.I | re.X,
 )
 _PART = re.compile(rf"(?:plus|\+)|{_WORD}", re.I)
+# Characters beside a letter's own two cases that match it where case is ignored.
+OTHER_CASE = "\u0130\u0131\u017f\u212a"
+_FOLDED = str.maketrans(OTHER_CASE, "iisk")
+#: The rules' white space and separators as bytes; any byte of a longer character counts.
+_GAP = np.array([b >= 128 or chr(b).isspace() for b in range(256)])
+_BETWEEN = _GAP | byte_class(",.-")
+_SPACE = rb"[\s\x1c-\x1f\x80-\xff]*"
+_BRACKETED = re.compile(rb"[(\[{<]" + _SPACE + "(?:at|ät|Ät|arroba|@|dot|punkt|punto|point|\\.)".encode() + _SPACE + rb"[)\]}>]")
+_PLAIN_DOTS = (b"dot", b"punkt", b"punto")
+#: The digits' names in lower case, where bytes have one.
+_DIGIT_BYTES = sorted({x.encode().lower() for w in DIGIT_WORDS for x in (w, w.upper())})
 #: First bytes of the characters that the glyph rule can rewrite: Greek, Cyrillic and other scripts' digits, full width.
 _LEADS = np.array([b in (0xC4, 0xC9) or 0xCE <= b <= 0xD4 or b >= 0xD9 and b != 0xE2 for b in range(256)])
 
@@ -118,7 +129,8 @@ def normalised(text: str) -> tuple[str, list[tuple[int, int, int, int]]]:
         at = m.end()
         if m.lastgroup == "digits":
             for p in _PART.finditer(text, *m.span()):
-                put("+" if p[0].lower() in ("plus", "+") else DIGIT_WORDS[p[0].lower()], *p.span())
+                name = p[0].translate(_FOLDED).lower()
+                put("+" if name in ("plus", "+") else DIGIT_WORDS[name], *p.span())
         else:
             put({"at": "@", "plain_at": "@", "dot": ".", "plain_dot": "."}.get(m.lastgroup) or _glyph(m[0]), *m.span())
     out.append(text[at:])
@@ -145,17 +157,25 @@ def to_source(pieces: list[tuple[int, int, int, int]], start: int, end: int) ->
 
 
 def disguised_rows(block: Block) -> set[int]:
-    """Rows where a rule of the transducer can fire in a way that makes an identifier."""
+    """All rows where a rule of the transducer can fire, and few others.
+
+    Each test holds wherever its rule does, bytes of 0x80 and above being taken for white space or a letter at need: an at
+    or dot between brackets; a dot's word between white space (a plain at is followed by one of the two); digits' names
+    with nothing but separators between; the characters that the glyph rule rewrites, or that match a letter in other case.
+    """
     lower = block.data.lower()
-    hits = [k for word in (b"dot", b"punkt", b"punto", b"(at", b"[at", b"{at", b"<at", b"( at", b"[ at", b"(@", b"[@", b"{@", b"arroba") for k in block.finds(word, lower)]
-    hits += [k for char in UNSEEN for k in block.finds(char.encode())]
+    hits = [m.start() for m in _BRACKETED.finditer(lower)]
+    for word in _PLAIN_DOTS:
+        hits += [k for k in block.finds(word, lower) if k and _GAP[lower[k - 1]] and _GAP[lower[k + len(word)]]]
+    hits += [k for char in UNSEEN + OTHER_CASE for k in block.finds(char.encode())]
     hits += np.flatnonzero(_LEADS[block.bytes]).tolist()
-    words = [(k, k + len(w)) for w in (x.encode() for x in DIGIT_WORDS) for k in block.finds(w, lower)]
+    words = sorted((k, k + len(w)) for w in _DIGIT_BYTES for k in block.finds(w, lower))
     if len(words) >= LEAST_SPELLED:
-        ends = sorted(words)
-        start, end = (np.array([x[k] for x in ends]) for k in (0, 1))
-        # words of a number follow each other within a few separators; between them lie no other digit words
-        close = (start[1:] - end[:-1] <= 4).astype(np.int64)
+        start, end = (np.array([x[k] for x in words]) for k in (0, 1))
+        # names can lie in each other (un, uno, neun), so the gap counts from the farthest end so far
+        letters = np.concatenate([[0], np.cumsum(~_BETWEEN[block.bytes])])
+        reach = np.minimum(np.maximum.accumulate(end)[:-1], start[1:])
+        close = (letters[start[1:]] == letters[reach]).astype(np.int64)
         total = np.concatenate([[0], np.cumsum(close)])
         need = LEAST_SPELLED - 1
         hits += start[np.flatnonzero(total[need:] - total[:-need] >= need)].tolist()
@@ -165,7 +185,7 @@ def disguised_rows(block: Block) -> set[int]:
 def spelled_numbers(text: str) -> Iterator[tuple[int, int]]:
     """Stretches of 8 to 15 digits in words: telephone numbers, with or without a plus."""
     for m in RULES.finditer(text):
-        if m.lastgroup == "digits" and 8 <= sum(p[0].lower() not in ("plus", "+") for p in _PART.finditer(m[0])) <= 15:
+        if m.lastgroup == "digits" and 8 <= sum(p[0].translate(_FOLDED).lower() not in ("plus", "+") for p in _PART.finditer(m[0])) <= 15:
             yield m.span()
 
 

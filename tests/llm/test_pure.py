@@ -162,6 +162,60 @@ def test_hidden_spans(text, kind, span):
     assert not found if kind is None else len(found) == 1 and found[0][0] == kind and span in found[0][1]
 
 
+def _disguises(n):
+    """Texts with an identifier behind a drawn disguise, among ordinary words."""
+    r = random.Random(5)
+    case = lambda w: r.choice([w, w.upper(), w.title(), w.replace("i", "\u0130"), w.replace("k", "\u212a"), w.replace("s", "\u017f")])
+    space = lambda least: "".join(r.choices([" ", "  ", "\t", "\n   ", "\u00a0", "\u3000", "\x1f"], k=r.randint(least, 2)))
+
+    def sign(words):
+        a, b = r.choice(["()", "[]", "{}", "<>"])
+        return f"{space(0)}{a}{space(0)}{case(r.choice(words))}{space(0)}{b}{space(0)}"
+
+    def plain(words):
+        return space(1) + case(r.choice(words)) + space(1)
+
+    for _ in range(n):
+        dot = lambda: r.choice([".", sign(["dot", "punkt", "punto", "point", "."]), plain(["dot", "punkt", "punto"])])
+        digits = [case(r.choice(list(pii.DIGIT_WORDS))) for _ in range(r.randint(6, 12))]
+        gaps = [r.choice([" ", "  ", " -- ", ", ", ".\n      ", "\u00a0", "-", " ,  .  - "]) for _ in digits]
+        yield r.choice(["é word ", "", "a dotted (the) line, "]) + r.choice(
+            [
+                f"jane{r.choice(['@', sign(['at', 'ät', 'arroba', '@']), plain(['at', 'arroba'])])}example{dot()}com",
+                f"10{dot()}0{dot()}0{dot()}1",
+                r.choice(["plus ", "+", ""]) + "".join(g + w for g, w in zip(["", *gaps], digits, strict=False)),
+                "".join(r.choice([c, r.choice([c, *(k for k, v in pii.HOMOGLYPHS.items() if v == c), c + r.choice(pii.UNSEEN)])]) for c in "paul@example.com"),
+                "".join(r.choice([c, chr(ord(c) + 0xFEE0), chr(ord(c) + 0x0630)]) for c in "4917012345678"),
+            ]
+        ) + r.choice(["", " and more", "\n"])
+
+
+def test_prefilter_loses_no_disguise(monkeypatch):
+    texts = ["x jane@example[.]com", "10.0.0[.]1", "jane(point)x", "bob < at >c.de", "bob <@>c.de", "bob (ät) c.de", "bob (  at\u00a0) c.de", " -- ".join(["five"] * 8), "eins.\n      zwei " * 5, "FÜNF " * 9, "\u017fix " * 9, *_disguises(4000)]
+    block = Block([t.encode() for t in texts])
+    got = sorted(pii.hidden_spans(block))
+    fired = {k for k, t in enumerate(texts) if pii.RULES.search(t)}
+    assert fired <= pii.disguised_rows(block)
+    monkeypatch.setattr(pii, "disguised_rows", lambda block: range(len(block.texts)))
+    want = sorted(pii.hidden_spans(block))
+    assert got == want and len(set(block.rows([a for _, a, _ in want]).tolist())) > 2000
+    assert {0, 1, 3, 4, 5, 6, 7, 8, 9, 10} <= set(block.rows([a for _, a, _ in want]).tolist())
+
+
+def test_prefilter_knows_every_character_of_the_rules():
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    letters = {*"".join(pii.DIGIT_WORDS), *"atärobdpunkipoint"}
+    for c in letters:
+        assert set(re.findall(c, every, re.I)) - {c, c.upper()} <= set(pii.OTHER_CASE)
+    space = re.compile(r"\s")
+    assert all(pii._GAP[c.encode()[0]] for c in every[:0x4000] if space.match(c))
+    glyph = re.compile(RULES_GLYPH)
+    assert all(pii._LEADS[c.encode()[0]] or c in pii.UNSEEN for c in glyph.findall(every))
+
+
+RULES_GLYPH = re.search(r"\(\?P<glyph>\(\?-i:(.*)\)\)$", pii.RULES.pattern)[1]
+
+
 def test_random_strings_against_identifiers():
     ratio = secrets.ratios(*secrets.labelled([b"the quick brown fox jumps over lazy dogs and other ordinary animals of various kinds reading words"]))
     runs = lambda t: secrets.random_runs(Block([t]), ratio)
