@@ -16,7 +16,6 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from ._scan import Block, Found, byte_class, scan
-from .secrets import apart
 
 BASE = ["email", "ip", "card", "phone"]
 KINDS = [*BASE, *(f"hidden_{k}" for k in BASE)]
@@ -209,16 +208,27 @@ def hidden_spans(block: Block) -> Found:
     return out
 
 
+def uncovered(hidden: Found, base: Found) -> Found:
+    """The hidden spans but those that a base span of the same kind covers wholly."""
+    by_kind = {f"hidden_{k}": sorted((a, b) for kind, a, b in base if kind == k) for k in BASE}
+    out = []
+    for kind, a, b in hidden:
+        k = bisect_right(by_kind[kind], a, key=lambda x: x[0])
+        if not k or by_kind[kind][k - 1][1] < b:
+            out.append((kind, a, b))
+    return out
+
+
 def find_pii(docs: DataFrame, keep: list[str] | None = None, text_col: str = "text", out_col: str = "found") -> DataFrame:
     """The ``keep`` columns of docs (default: all) and ``out_col``: spans (kind, start, end) in code points, by start.
 
     Base kinds stand as their patterns find them, leftmost and non-overlapping per kind; identifiers behind a disguise are
-    added as ``hidden_`` kinds where no base span touches them. Null and empty texts have none. Only the text is looked
+    added as ``hidden_`` kinds, beside base spans that hold a part of them, unless one of their kind holds them whole. Null and empty texts have none. Only the text is looked
     at, whole.
     """
 
     def find(block: Block) -> Found:
         base = base_spans(block)
-        return base + apart(hidden_spans(block), base)
+        return base + uncovered(hidden_spans(block), base)
 
     return scan(docs, find, docs.columns if keep is None else keep, text_col, out_col)

@@ -170,6 +170,28 @@ def test_spans(docs, nothing):
     assert pii.find_pii(nothing).count() == 0 and secrets.redact(nothing, secrets.train(nothing)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("text", "base", "hidden"),
+    [
+        ("p\u0430ul@example.com", "ul@example.com", "p\u0430ul@example.com"),
+        ("bo\u200bb@cd.ef", "b@cd.ef", "bo\u200bb@cd.ef"),
+        ("paul@example.c\u043em", "paul@example.c", "paul@example.c\u043em"),
+        ("+49 170 1234\uff15\uff16\uff17", "+49 170 1234", "+49 170 1234\uff15\uff16\uff17"),
+        ("paul@example.com \u0430", "paul@example.com", None),
+    ],
+)
+def test_hidden_span_beside_its_fragment(spark, text, base, hidden):
+    found = pii.find_pii(spark.createDataFrame([(f"é {text} x",)], "text string")).first().found
+    got = {x.kind[:6] == "hidden": f"é {text} x"[x.start : x.end] for x in found}
+    assert got == {False: base} | ({True: hidden} if hidden else {})
+
+
+def test_hidden_span_that_a_base_span_covers():
+    base = [("email", 5, 20), ("email", 30, 40), ("ip", 50, 60)]
+    hidden = [("hidden_email", 5, 20), ("hidden_email", 6, 21), ("hidden_email", 29, 40), ("hidden_email", 31, 39), ("hidden_phone", 50, 60), ("hidden_email", 0, 3)]
+    assert pii.uncovered(hidden, base) == [hidden[1], hidden[2], hidden[4], hidden[5]]
+
+
 def test_licenses(docs, nothing):
     got = {r.doc_id: r for r in licenses.find_licenses(docs).collect()}
     assert (got[None].n_base, got[None].first_word, got[None].base_labels) == (1, 5, ["mit"]) and got[5].n_words == 0 and got[9].n_words == 18000
