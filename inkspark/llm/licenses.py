@@ -49,7 +49,9 @@ TEMPLATES = {
     "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
     "proprietary": ["All rights reserved. No part of this publication may be reproduced"],
 }
-MATCH = T.ArrayType(T.StructType([T.StructField("label", T.StringType()), T.StructField("first_word", T.LongType()), T.StructField("containment", T.DoubleType()), T.StructField("best", T.BooleanType())]))
+MATCH = T.ArrayType(T.StructType([T.StructField("label", T.StringType()), T.StructField("template", T.LongType()), T.StructField("first_word", T.LongType()), T.StructField("containment", T.DoubleType()), T.StructField("best", T.BooleanType())]))
+
+MATCH_FIELDS = ("label", "template", "first_word", "containment", "best")
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -76,15 +78,16 @@ class Templates:
     """Templates as word lists in the corpus's frequency order, with an index of their prefixes."""
 
     def __init__(self, templates: dict[str, list[str]], threshold: float, frequency: dict[bytes, int]):
-        self.rows, self.index, longest = [], defaultdict(list), 1
+        self.rows, self.number, self.index, longest = [], [], defaultdict(list), 1
         for label, texts in sorted(templates.items()):
-            for text in texts:
+            for number, text in enumerate(texts):
                 longest = max(longest, len(words_of(text.encode())))
                 ordered = sorted(set(words_of(text.encode())), key=lambda w: (frequency.get(w, 0), w))
                 need = math.ceil(threshold * len(ordered) - 1e-9)
                 for word in ordered[: len(ordered) - need + 1] if ordered else ():
                     self.index[word].append(len(self.rows))
                 self.rows.append((label, ordered, need))
+                self.number.append(number)
         self.longest = longest
 
     def containment(self, block: set[bytes], k: int) -> float:
@@ -99,12 +102,13 @@ class Templates:
                 return 0.0
         return shared / len(ordered)
 
-    def matches(self, words: list[bytes]) -> list[tuple[str, int, float, bool]]:
-        """(label, first word, containment, best) of each label's best block (the earliest, if equal).
+    def matches(self, words: list[bytes]) -> list[tuple[str, int, int, float, bool]]:
+        """(label, template, first word, containment, best) of every template and block that match, by template and block.
 
-        ``best`` tells whether no other label's template fits that block better.
+        ``template`` counts a label's templates as listed. ``best`` tells whether no other label's template fits that
+        block better.
         """
-        step, best = self.longest, {}
+        step, out = self.longest, []
         hits = defaultdict(set)
         for at, word in enumerate(words):
             for k in self.index.get(word, ()):
@@ -114,11 +118,8 @@ class Templates:
         for first in sorted(hits):
             block = set(words[first : first + 2 * step])
             parts = {k: part for k in sorted(hits[first]) if (part := self.containment(block, k))}
-            for k, part in parts.items():
-                new, old = (part == max(parts.values()), part), best.get(self.rows[k][0])
-                if old is None or new > (old[2], old[1]):
-                    best[self.rows[k][0]] = (first, part, new[0])
-        return [(label, *best[label]) for label in sorted(best)]
+            out += [(k, first, part, part == max(parts.values())) for k, part in parts.items()]
+        return [(self.rows[k][0], self.number[k], *m) for k, *m in sorted(out)]
 
 
 def vocabulary(templates: dict[str, list[str]]) -> list[bytes]:
@@ -141,7 +142,7 @@ def find_licenses(
     """The ``keep`` columns of docs (default: all) with n_words, n_base, first_word, last_word, base_labels, matches.
 
     n_base counts the places of phrases, first_word and last_word are the least and greatest of them (else null);
-    base_labels are distinct and sorted; matches are the best block per template label. A null text reads as empty: no
+    base_labels are distinct and sorted; matches are all pairs of a template and a block that match. A null text reads as empty: no
     words, no matches. Columns of docs named like the new ones are replaced. Templates and phrases are parameters of the
     scan and go to every task; texts are read whole.
     """
@@ -151,7 +152,7 @@ def find_licenses(
     index = Templates(templates, threshold, word_frequencies(docs, vocabulary(templates), text_col))
     named = [(words_of(p.encode()), label) for p, label in phrases.items()]
     triggers = sorted({*index.index, *(p[-1] for p, _ in named)})
-    list_type, match_type = pa.list_(pa.string()), pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("containment", pa.float64()), ("best", pa.bool_())]))
+    list_type, match_type = pa.list_(pa.string()), pa.list_(pa.struct([("label", pa.string()), ("template", pa.int64()), ("first_word", pa.int64()), ("containment", pa.float64()), ("best", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "__text"):
@@ -166,7 +167,7 @@ def find_licenses(
                 words = words_of(block.texts[row])
                 found = phrase_places(words, named)
                 places[row], labels[row] = [a for a, _ in found], sorted({b for _, b in found})
-                matches[row] = [dict(zip(("label", "first_word", "containment", "best"), m, strict=True)) for m in index.matches(words)]
+                matches[row] = [dict(zip(MATCH_FIELDS, m, strict=True)) for m in index.matches(words)]
             yield pa.RecordBatch.from_arrays(
                 [
                     *part.columns[: len(keep)],

@@ -298,5 +298,28 @@ def test_license_containment_by_brute_force():
         assert {m[0] for m in got} == set(want)
 
 
+def _license_blocks(index, words):
+    """All (label, template, first word, containment) that match, by comparing each block with each template."""
+    numbers = [n for _, texts in sorted(licenses.TEMPLATES.items()) for n in range(len(texts))]
+    for first in range(0, len(words), index.longest):
+        block = set(words[first : first + 2 * index.longest])
+        for n, (label, ordered, need) in zip(numbers, index.rows, strict=True):
+            if len(block & set(ordered)) >= need:
+                yield label, n, first, len(block & set(ordered)) / len(ordered)
+
+
+def test_license_matches_are_all_blocks():
+    index = licenses.Templates(licenses.TEMPLATES, 0.8, {})
+    notices = [licenses.words_of(t.encode()) for texts in licenses.TEMPLATES.values() for t in texts]
+    for seed in range(200):
+        r = random.Random(seed)
+        words = [w for _ in range(r.randint(0, 8)) for w in [*r.choice(notices), *[b"x"] * r.randint(0, 60)]]
+        got = index.matches(words)
+        assert sorted(m[:4] for m in got) == sorted(_license_blocks(index, words))
+    both = licenses.TEMPLATES["gpl"][0].split() + ["x"] * 200 + licenses.TEMPLATES["gpl"][1].split() + ["x"] * 200
+    got = [m for m in index.matches(licenses.words_of(" ".join(both * 2).encode())) if m[0] == "gpl"]
+    assert {m[1] for m in got} == {0, 1} and len({m[2] for m in got}) >= 4
+
+
 def test_digest_of_nothing():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442") and zlib.crc32(b"") == 0
