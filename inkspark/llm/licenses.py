@@ -78,7 +78,7 @@ class Templates:
     """Templates as word lists in the corpus's frequency order, with an index of their prefixes."""
 
     def __init__(self, templates: dict[str, list[str]], threshold: float, frequency: dict[bytes, int]):
-        self.rows, self.number, self.index, longest = [], [], defaultdict(list), 1
+        self.rows, self.number, self.own, self.index, longest = [], [], [], defaultdict(list), 1
         for label, texts in sorted(templates.items()):
             for number, text in enumerate(texts):
                 longest = max(longest, len(words_of(text.encode())))
@@ -88,6 +88,7 @@ class Templates:
                     self.index[word].append(len(self.rows))
                 self.rows.append((label, ordered, need))
                 self.number.append(number)
+                self.own.append(frozenset(ordered))
         self.longest = longest
 
     def containment(self, block: set[bytes], k: int) -> float:
@@ -105,21 +106,62 @@ class Templates:
     def matches(self, words: list[bytes]) -> list[tuple[str, int, int, float, bool]]:
         """(label, template, first word, containment, best) of every template and block that match, by template and block.
 
-        ``template`` counts a label's templates as listed. ``best`` tells whether no other label's template fits that
-        block better.
+        ``template`` counts a label's templates as listed. ``best`` is false where another label's template fits the same
+        words better, as lgpl does where gpl is found in it: each stretch with ``need`` of the match's words lies mostly
+        inside a stretch of the other, with no word of its own. Notices beside each other are all best.
         """
-        step, out = self.longest, []
+        step, found = self.longest, []
         hits = defaultdict(set)
         for at, word in enumerate(words):
             for k in self.index.get(word, ()):
                 hits[at // step * step].add(k)
                 if at >= step:
                     hits[at // step * step - step].add(k)
+        whole = defaultdict(dict)
         for first in sorted(hits):
             block = set(words[first : first + 2 * step])
-            parts = {k: part for k in sorted(hits[first]) if (part := self.containment(block, k))}
-            out += [(k, first, part, part == max(parts.values())) for k, part in parts.items()]
-        return [(self.rows[k][0], self.number[k], *m) for k, *m in sorted(out)]
+            for k in sorted(hits[first]):
+                if part := self.containment(block, k):
+                    found.append((k, first, part))
+                    whole[first][k] = self._whole(words, first, k, len(block & self.own[k]))
+        # the end of a notice and the start of the next one make a whole of their own, which gives way to the shorter one
+        kept = {
+            first: {k: x for k, x in part.items() if not any(k in (o := whole.get(other, {})) and o[k][0] < x[1] and x[0] < o[k][1] and _rank(o[k]) < _rank(x) for other in (first - step, first + step))}
+            for first, part in whole.items()
+        }
+        out = []
+        for k, first, part in found:
+            near = [(j, x) for other in (first - step, first, first + step) for j, x in kept.get(other, {}).items() if self.rows[j][0] != self.rows[k][0]]
+            better = [(a, b, self.own[j]) for j, (a, b, shared) in near if self._fit(j, shared) > self._fit(k, len(self.own[k].intersection(words[a:b])))]
+            best = not better or any(
+                all(2 * (min(b, d) - max(a, c)) <= b - a or not self.own[k].intersection(words[a:b]) <= other for c, d, other in better)
+                for a, b in self._stretches(words, first, k, self.rows[k][2])
+            )
+            out.append((self.rows[k][0], self.number[k], first, part, best))
+        return [m for _, m in sorted(zip(((k, first) for k, first, _ in found), out, strict=True))]
+
+    def _fit(self, k: int, shared: int) -> tuple[int, float]:
+        return shared, shared / len(self.own[k])
+
+    def _stretches(self, words: list[bytes], first: int, k: int, least: int) -> list[tuple[int, int]]:
+        """Stretches of the block with ``least`` distinct words of template k, none of which holds another one."""
+        out, last = [], {}
+        for at in range(first, min(first + 2 * self.longest, len(words))):
+            if words[at] in self.own[k]:
+                last[words[at]] = at
+                if len(last) >= least and (start := sorted(last.values())[-least]) > (out[-1][0] if out else -1):
+                    out.append((start, at + 1))
+        return out
+
+    def _whole(self, words: list[bytes], first: int, k: int, shared: int) -> tuple[int, int, int]:
+        """The shortest stretch of the block with all its ``shared`` words of template k, and their number."""
+        return (*min(self._stretches(words, first, k, shared), key=lambda x: x[1] - x[0]), shared)
+
+
+def _rank(stretch: tuple[int, int, int]) -> tuple[int, int, int]:
+    """Most words first, then the shortest, then the earliest."""
+    start, end, shared = stretch
+    return -shared, end - start, start
 
 
 def vocabulary(templates: dict[str, list[str]]) -> list[bytes]:

@@ -321,5 +321,18 @@ def test_license_matches_are_all_blocks():
     assert {m[1] for m in got} == {0, 1} and len({m[2] for m in got}) >= 4
 
 
+@pytest.mark.parametrize("before", range(40))
+def test_license_labels_do_not_hide_each_other(before):
+    index = licenses.Templates(licenses.TEMPLATES, 0.8, {})
+    labels = lambda *texts: {m[0] for m in index.matches(licenses.words_of(" ".join(["x"] * before + [*texts, "and so on"]).encode())) if m[-1]}
+    mit, bsd = licenses.TEMPLATES["mit"][1], licenses.TEMPLATES["bsd"][0].removesuffix(" provided that")
+    assert labels(mit, bsd) == labels(bsd, mit) == {"mit", "bsd"}
+    gpl, lgpl, nc, sa = (licenses.TEMPLATES[k][-1] for k in ("gpl", "lgpl", "cc-by-nc", "cc-by-sa"))
+    assert labels(lgpl) == labels("License:", lgpl) == {"lgpl"} and labels(gpl) == {"gpl"}
+    assert labels(gpl, lgpl) == labels(lgpl, gpl) == {"gpl", "lgpl"}
+    assert labels(nc) == {"cc-by-nc"} and labels(sa) == {"cc-by-sa"} and labels(nc, sa) == labels(sa, nc) == {"cc-by-nc", "cc-by-sa"}
+    assert labels("This work is licensed under", mit, "the GNU General Public License, version 3") == {"mit", "gpl"}
+
+
 def test_digest_of_nothing():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442") and zlib.crc32(b"") == 0
