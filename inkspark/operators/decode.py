@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 Lattice = list[list[tuple[str, float]]]
 Bigrams = dict[tuple[str, str], float]
+Beam = tuple[float, str, str | None]
+START: list[Beam] = [(0.0, "", None)]
 FLOOR, CONTEXT = 1e-9, 0.3
 
 
@@ -55,11 +57,15 @@ def viterbi(lattice: Lattice, bigrams: Bigrams, miss: float) -> tuple[str, float
 
 def beams(lattice: Lattice, bigrams: Bigrams, miss: float, width: int) -> list[tuple[float, str]]:
     """The ``width`` best (score, path) after each position, equal scores in order of extension."""
-    out: list[tuple[float, str, str | None]] = [(0.0, "", None)]
+    return [(s, path) for s, path, _ in extended(START, lattice, bigrams, miss, width)]
+
+
+def extended(out: list[Beam], lattice: Lattice, bigrams: Bigrams, miss: float, width: int) -> list[Beam]:
+    """Beams (score, path, last label) after further positions."""
     for column in lattice:
         grown = [(s + step(last, label, p, bigrams, miss), path + label, label) for s, path, last in out for label, p in column]
         out = sorted(grown, key=lambda x: -x[0])[:width]
-    return [(s, path) for s, path, _ in out]
+    return out
 
 
 def words_of_pieces(pieces: list[Lattice], bigrams: Bigrams, miss: float, width: int, span: int, penalty: float, bonus) -> str:
@@ -69,9 +75,11 @@ def words_of_pieces(pieces: list[Lattice], bigrams: Bigrams, miss: float, width:
     characters are dropped, empty words too; equal totals keep the longer last word.
     """
     best: list[tuple[float, list[str]]] = [(0.0, [])] + [(-math.inf, [])] * len(pieces)
-    for i in range(1, len(pieces) + 1):
-        for j in range(max(0, i - span), i):
-            found = [(s + bonus(w := path.replace("_", "")), w) for s, path in beams([c for piece in pieces[j:i] for c in piece], bigrams, miss, width)]
+    for j in range(len(pieces)):
+        state = START  # the beams of a span go on from those of the span without its last piece
+        for i in range(j + 1, min(j + span, len(pieces)) + 1):
+            state = extended(state, pieces[i - 1], bigrams, miss, width)
+            found = [(s + bonus(w := path.replace("_", "")), w) for s, path, _ in state]
             score, word = max(found, key=lambda x: x[0])
             total = best[j][0] + score + (penalty if j else 0.0)
             if total > best[i][0]:

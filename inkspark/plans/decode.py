@@ -11,9 +11,7 @@ from . import corpus
 from .corpus import BENCH, BIGRAM, FREQ, LATTICE, TOKENS, table
 
 CONFIG = Config(script=LATIN)
-WIDTH, LINE_WIDTH = 5, 8
-#: Most frequent words whose bonus travels to the tasks.
-BONUS_WORDS = 20_000
+WIDTH = 5
 
 
 def _decoded(spark, sf_dir, width):
@@ -30,6 +28,15 @@ def beam_decode(spark, sf_dir):
     return _decoded(spark, sf_dir, WIDTH)
 
 
+def word_bonus(spark, sf_dir) -> dict[str, float]:
+    """The bonus of the lexicon's and of the most frequent words: 600,000 words at most, by their two caps."""
+    counts = C.word_frequency_top(corpus.doc_tokens(spark, sf_dir), CONFIG.frequency_cap)
+    lexicon = corpus.capped_vocabulary(spark, sf_dir).select("word")
+    words = lexicon.union(counts.select("word")).distinct().withColumn("conf", F.lit(0.0))
+    scored = C.rescored(words, counts, lexicon, CONFIG.lexicon_bonus, CONFIG.frequency_weight)
+    return {r["word"]: r["score"] for r in scored.select("word", "score").collect()}
+
+
 def paw_word_dp(spark, sf_dir):
     """Benchmark items as lines: their words of 2 to 6 characters as pieces, decoded and grouped."""
     rows, bigrams = corpus.lattice(spark, sf_dir)
@@ -37,10 +44,7 @@ def paw_word_dp(spark, sf_dir):
     words = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.regexp_extract_all("text", F.lit(f"[{CONFIG.script}]+"), F.lit(0))).alias("pos", "word"))
     lines = words.join(pieces, "word").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("pos", "lattice"))).alias("l"))
     lines = lines.select("item_id", F.transform("l", lambda x: x["lattice"]).alias("pieces"))
-    counts = corpus.frequency(spark, sf_dir).orderBy(F.desc("cnt"), "word").limit(BONUS_WORDS)
-    scored = C.rescored(counts.select("word", F.lit(0.0).alias("conf")), counts, counts, CONFIG.lexicon_bonus, CONFIG.frequency_weight)
-    bonus = {r["word"]: r["score"] for r in scored.select("word", "score").collect()}
-    return D.decoded_lines(lines, "item_id", D.bigram_dict(bigrams), CONFIG.bigram_miss, LINE_WIDTH, CONFIG.max_span, CONFIG.space_penalty, bonus)
+    return D.decoded_lines(lines, "item_id", D.bigram_dict(bigrams), CONFIG.bigram_miss, CONFIG.beam_width, CONFIG.max_span, CONFIG.space_penalty, word_bonus(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (viterbi_decode, beam_decode, paw_word_dp)}

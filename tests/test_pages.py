@@ -112,6 +112,41 @@ def test_decoders():
     assert D.words_of_pieces(pieces, bigrams, 1e-6, 5, 8, 0.0, lambda w: {"ab": 5.0}.get(w, -9.0)) == "ab"
 
 
+def test_line_decoding_by_brute_force():
+    r = np.random.default_rng(4)
+    letters = "abcd_"
+    bigrams = {(a, b): float(r.random()) for a in letters for b in letters}
+    for _ in range(40):
+        pieces = [[[(c, float(r.random())) for c in letters[: r.integers(1, 4)]] for _ in range(r.integers(1, 3))] for _ in range(r.integers(1, 6))]
+        bonus = lambda w: len(w) ** 2 * 0.7 if w in {"ab", "abab", "aa", "b"} else 0.0  # noqa: B023, E731
+        best = [(0.0, [])] + [(-np.inf, [])] * len(pieces)
+        for i in range(1, len(pieces) + 1):
+            for j in range(max(0, i - 3), i):
+                score, word = max(((s + bonus(w := path.replace("_", "")), w) for s, path in D.beams(sum(pieces[j:i], []), bigrams, 1e-6, 50)), key=lambda x: x[0])
+                if (total := best[j][0] + score - (0.1 if j else 0)) > best[i][0]:
+                    best[i] = (total, best[j][1] + [word] * bool(word))
+        assert D.words_of_pieces(pieces, bigrams, 1e-6, 50, 3, -0.1, bonus) == " ".join(best[-1][1])
+
+
+def test_line_query_has_the_limits_of_the_reference(spark, tmp_path, monkeypatch):
+    from inkspark.plans import decode
+
+    names = ["".join("abcdefghijklmnopqrstuvwxyz"[n // 26**k % 26] for k in range(4)) for n in range(25000)]
+    docs = [(0, " ".join(["often often", *names]), "en")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "often")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    bonus = decode.word_bonus(spark, str(tmp_path))
+    assert set(bonus) == {"often", *names} and bonus["often"] == pytest.approx(15.25)
+    assert all(bonus[w] == pytest.approx(0.25 + 15 * np.log(2) / np.log(3)) for w in names)
+    monkeypatch.setattr(decode, "CONFIG", decode.Config(script=decode.LATIN, frequency_cap=1))
+    assert decode.word_bonus(spark, str(tmp_path))[names[0]] == pytest.approx(0.25)
+    given = []
+    monkeypatch.setattr(decode, "CONFIG", decode.Config(script=decode.LATIN))
+    monkeypatch.setattr(D, "decoded_lines", lambda *args: given.append(args[4]))
+    decode.paw_word_dp(spark, str(tmp_path))
+    assert given == [50]
+
+
 @pytest.mark.parametrize("kind", ["SVM", "rf"])
 def test_classifier(spark, tmp_path, kind):
     r = np.random.default_rng(0)
