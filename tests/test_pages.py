@@ -147,6 +147,17 @@ def test_line_query_has_the_limits_of_the_reference(spark, tmp_path, monkeypatch
     assert given == [50]
 
 
+def test_forest_query_has_all_trees(monkeypatch):
+    from inkspark.plans import models
+
+    made = []
+    monkeypatch.setattr(models, "_rows", lambda spark, sf_dir: None)
+    monkeypatch.setattr(M.Classifier, "fit", lambda self, rows: made.append(M._stages(self.kind, 6, 3, self.seed, self.params)[1].getNumTrees()) or self)
+    monkeypatch.setattr(M.Classifier, "top_k", lambda *args: args[1] or __import__("unittest.mock").mock.MagicMock())
+    models.QUERIES["rf_topk"](None, None)
+    assert made == [300]
+
+
 @pytest.mark.parametrize("kind", ["SVM", "rf"])
 def test_classifier(spark, tmp_path, kind):
     r = np.random.default_rng(0)
