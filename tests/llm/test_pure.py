@@ -15,6 +15,7 @@ from inkspark.llm._scan import Block
 from inkspark.llm._tokens import ChunkEncoder
 from tokenizers import Tokenizer
 
+LOWER = "abcdefghijklmnopqrstuvwxyz"
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -227,6 +228,33 @@ def test_random_strings_against_identifiers():
     assert hits >= 180
 
 
+@pytest.mark.parametrize("alphabet", [LOWER + LOWER.upper() + "0123456789", LOWER + LOWER.upper(), LOWER.upper(), "0123456789" + LOWER])
+@pytest.mark.parametrize("around", ["{}", "config/production/database/credentials/{}", "the-other-ordinary-animals_{}-and-various-kinds", "reading/{}"])
+def test_random_strings_of_any_kind_and_place(alphabet, around):
+    texts = [b"the quick brown fox jumps over lazy dogs and other ordinary animals of various kinds reading words config production database credentials"]
+    ratio, draw, hits = secrets.ratios(*secrets.labelled(texts)), random.Random(3), 0
+    for _ in range(100):
+        key = "".join(draw.choices(alphabet, k=24))
+        text = around.format(key).encode()
+        hits += any(text[a:b] == key.encode() for _, a, b in secrets.random_runs(Block([b"x " + text + b" x"]), ratio) for a, b in [(a - 2, b - 2)])
+    assert hits >= 95
+
+
+def test_best_stretches_by_brute_force():
+    r = random.Random(8)
+    for _ in range(300):
+        text = "".join(r.choice("ab/") for _ in range(r.randint(16, 60))).encode()
+        ratio = np.random.default_rng(r.randrange(99)).normal(0, 1, (256, 256))
+        got = [(a, b) for _, a, b in secrets.random_runs(Block([text]), ratio, 0.0)]
+        edges = [-1, *(k for k, c in enumerate(text) if c == 47), len(text)]
+        worth = lambda a, b: ratio[32, text[a]] + sum(ratio[text[k - 1], text[k]] for k in range(a + 1, b))  # noqa: B023, E731
+        all_ = {(x + 1, y): worth(x + 1, y) for x in edges for y in edges if y - x - 1 >= secrets.LEAST_RUN}
+        assert bool(got) == (max(all_.values(), default=0) > 0)
+        if got:
+            assert max(all_[s] for s in got) == pytest.approx(max(all_.values())) and all(all_[s] > 0 for s in got)
+            assert all(b < c for (_, b), (c, _) in itertools.pairwise(got))
+
+
 def test_redaction_merges_spans():
     ratio = np.zeros((256, 256))
     texts = ["é token=0123456789abcdef01234567 end".encode(), b"", b"clean"]
