@@ -18,14 +18,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from ._arrow import bounded, chunks, text_bytes
 from ._stash import stash
 
 UNKNOWN = "und"
-#: Labelled texts a language that the statistics are gathered from, whole; a language with fewer gives all.
-SAMPLE_TEXTS = 1500
+#: Distinct labelled texts a language, and bytes of them, that the statistics are gathered from, whole; about so many at most.
+SAMPLE_TEXTS, SAMPLE_BYTES = 1500, 16 << 20
+#: A text is foreign to all learned languages if its shortest code takes so many times the bits a byte of that language's own
+#: labelled texts, and so many bits besides, which short texts may need.
+FOREIGN, SLACK_BITS = 1.8, 512.0
 #: Languages whose sizes may be broadcast (some 50 bytes each); more are shuffled, with the texts.
 BROADCAST_LANGS = 10_000
 START = b"  "
@@ -33,17 +36,18 @@ FOLD = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 LETTER = np.array([97 <= (b | 32) <= 122 for b in range(256)])
 
 
-def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, bound: int) -> DataFrame:
-    """``(lang, text)``: about ``bound`` texts a language, picked by a hash of the id; all where there are fewer."""
-    rows = docs.select(
-        docs[lang_col].cast("string").alias("lang"), docs[text_col].cast("string").alias("text"), docs[id_col].cast("string").alias("id")
-    ).where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    share = F.lit(float(bound)) / F.col("n")
-    mark = (F.xxhash64(F.coalesce("id", F.lit("")), F.lit(5)).bitwiseAND((1 << 30) - 1)) / float(1 << 30)
-    sizes = stash(sizes, "languages")
-    picked = rows.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_LANGS else sizes, "lang").withColumn("mark", mark).where(F.col("mark") < share)
-    return picked.select("lang", "text")
+def training_rows(docs: DataFrame, text_col: str, lang_col: str, bound: int, n_bytes: int) -> DataFrame:
+    """``(lang, text)``: about ``bound`` distinct texts a language, of ``n_bytes`` bytes, picked by a hash of the text.
+
+    A language with fewer gives all, and any language gives one text at least. Repeated rows count once; ids play no part.
+    """
+    rows = docs.select(docs[lang_col].cast("string").alias("lang"), docs[text_col].cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
+    rows = rows.withColumn("mark", F.xxhash64("text", F.lit(5)).bitwiseAND((1 << 30) - 1))
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("mark").alias("n"), F.sum(F.octet_length("text")).alias("size"), F.min("mark").alias("least"))
+    share = F.least(F.lit(1.1 * bound) / F.col("n"), F.lit(float(n_bytes)) / F.greatest("size", F.lit(1)))
+    sizes = stash(sizes.select("lang", "least", share.alias("share")), "languages")
+    picked = rows.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_LANGS else sizes, "lang")
+    return picked.where(F.col("mark") / float(1 << 30) < F.col("share")).union(picked.where("mark = least")).select("lang", "text").distinct()
 
 
 def gram_counts(rows: DataFrame) -> DataFrame:
@@ -69,7 +73,7 @@ class Model:
     """Frozen statistics of all languages; small, as only seen three-byte grams are kept."""
 
     def __init__(self, langs: list[str], grams: list[np.ndarray], counts: list[np.ndarray]):
-        self.langs, self.grams, self.counts = langs, grams, counts
+        self.langs, self.grams, self.counts, self._rates = langs, grams, counts, None
 
     def compiled(self) -> tuple[np.ndarray, np.ndarray]:
         """Byte to symbol, and the bits of each (symbol, symbol, symbol) in each language; made once a process."""
@@ -95,6 +99,19 @@ class Model:
                 table[a, ..., k] = _code_lengths([order2[a], order1, np.broadcast_to(order0, order1.shape)], 256 - size + 1)
         return symbol, table.reshape(size**3, len(self.langs))
 
+    def rates(self) -> np.ndarray:
+        """Bits a byte that each language's own labelled texts take."""
+        if self._rates is not None:
+            return self._rates
+        symbol, table = self.compiled()
+        size = round(len(table) ** (1 / 3))
+        out = np.zeros(len(self.langs))
+        for k, (gram, count) in enumerate(zip(self.grams, self.counts, strict=True)):
+            sym = symbol[np.stack([gram >> 16, gram >> 8 & 255, gram & 255])].astype(np.int64)
+            out[k] = (table[(sym[0] * size + sym[1]) * size + sym[2], k] * count).sum(dtype=np.float64) / max(1, count.sum())
+        self._rates = out
+        return out
+
     def bits(self, texts: list[bytes]) -> np.ndarray:
         """Code length of each text in each language."""
         symbol, table = self.compiled()
@@ -131,18 +148,19 @@ def _code_lengths(orders: list[np.ndarray], unseen: int) -> np.ndarray:
     return np.where(open_, passed[..., None] + np.log2(rest)[..., None], bits).astype(np.float32)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", bound: int = SAMPLE_TEXTS) -> Model:
-    """Statistics from labelled rows (null texts and labels are skipped); ``bound`` texts a language at most, about.
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", bound: int = SAMPLE_TEXTS, n_bytes: int = SAMPLE_BYTES) -> Model:
+    """Statistics from labelled rows (null texts and labels are skipped); ``bound`` texts and ``n_bytes`` bytes a language, about.
 
-    Only the counts of seen grams come to the driver: 256**3 a language at most, some 20,000 in practice.
+    Only the counts of seen grams come to the driver: as many as the sample has bytes at most, some 20,000 a language in practice.
     """
-    got = gram_counts(training_rows(docs, id_col, text_col, lang_col, bound)).toPandas()
+    got = gram_counts(training_rows(docs, text_col, lang_col, bound, n_bytes)).toPandas()
     langs = sorted(got["lang"].unique())
     parts = [got[got["lang"] == x].sort_values("gram") for x in langs]
     return Model(langs, [p["gram"].to_numpy(np.int64) for p in parts], [p["n"].to_numpy(np.int64) for p in parts])
 
 
-def predict(model: Model, texts: list[bytes | None]) -> tuple[list[str], np.ndarray]:
+def predict(model: Model, texts: list[bytes | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score, and whether the text's code is short enough for a text of that language."""
     whole = [t or b"" for t in texts]
     data = np.frombuffer(b" ".join([*whole, b""]), np.uint8)
     starts = np.cumsum([0, *(len(t) + 1 for t in whole)])[:-1]
@@ -150,30 +168,34 @@ def predict(model: Model, texts: list[bytes | None]) -> tuple[list[str], np.ndar
     for row in np.flatnonzero(~lettered):
         lettered[row] = not whole[row].isascii() and any(map(str.isalpha, whole[row].decode("utf-8", "replace")))
     if not model.langs:
-        return [UNKNOWN] * len(whole), np.zeros(len(whole))
+        return [UNKNOWN] * len(whole), np.zeros(len(whole)), np.zeros(len(whole), bool)
     bits = model.bits(whole)
     best = bits.argmin(1)
-    score = 1 / np.exp2(np.maximum(bits.min(1, keepdims=True) - bits, -1000)).sum(1)
-    return [model.langs[k] if ok else UNKNOWN for k, ok in zip(best.tolist(), lettered.tolist(), strict=True)], np.where(lettered, score, 0.0)
+    least = bits.min(1, keepdims=True)
+    score = 1 / np.exp2(np.maximum(least - bits, -1000)).sum(1)
+    usual = model.rates()[best] * np.array([len(t) for t in whole])
+    fits = lettered & (least[:, 0] <= FOREIGN * usual + SLACK_BITS)
+    return [model.langs[k] if ok else UNKNOWN for k, ok in zip(best.tolist(), lettered.tolist(), strict=True)], np.where(lettered, score, 0.0), fits
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
-    """The ``keep`` columns of docs (default: all) with ``lang_pred`` and ``score``; only the text is looked at.
+def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, text_col: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "lang_fits")) -> DataFrame:
+    """The ``keep`` columns of docs (default: all) with the language, its score and ``lang_fits``; only the text is looked at.
 
-    Null and letter-less texts, and all texts under a model without languages, get ``und`` and score 0. Columns of docs
-    named lang_pred or score are replaced. Whole texts are scored, however long; ties go to the first language by name.
+    Null and letter-less texts, and all texts under a model without languages, get ``und``, score 0 and do not fit; nor does
+    a text that is foreign to all learned languages by its code length. ``names`` names the new columns; columns of docs
+    named so are replaced. Whole texts are scored, however long; ties go to the first language by name.
     """
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
     held = docs.sparkSession.sparkContext.broadcast(model)
-    schema = StructType([*(docs.schema[c] for c in keep), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    schema = StructType([*(docs.schema[c] for c in keep), *(StructField(n, t) for n, t in zip(names, (StringType(), DoubleType(), BooleanType()), strict=True))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "__text"):
             column = part.column(len(keep))
             _, off, view = text_bytes(column)
             at = off.tolist()
-            langs, score = predict(held.value, [bytes(view[i:j]) for i, j in zip(at, at[1:], strict=False)])
-            yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(score)], names=schema.names)
+            langs, score, fits = predict(held.value, [bytes(view[i:j]) for i, j in zip(at, at[1:], strict=False)])
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(score), pa.array(fits)], names=schema.names)
 
     return docs.select(*keep, docs[text_col].cast("string").alias("__text")).transform(bounded).mapInArrow(run, schema)
 
