@@ -65,17 +65,18 @@ def fingerprints(texts: list[bytes], shingle: int = 3) -> np.ndarray:
 
 
 def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``(doc_id, fp)``: one row per row of docs; fp holds the 64 bits as a signed long."""
+    """``(doc_id, fp, mark)``: one row per row of docs; fp holds the 64 bits as a signed long, mark is the text's xxhash64."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
             _, off, view = text_bytes(part.column(1))
             at = off.tolist()
             bits = fingerprints([bytes(view[i:j]) for i, j in zip(at, at[1:], strict=False)], shingle)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(bits.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(bits.view(np.int64)), part.column(2)], names=["doc_id", "fp", "mark"])
 
-    kept = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return kept.transform(bounded).mapInArrow(run, "doc_id long, fp long")
+    text = docs[text_col].cast("string").alias("text")
+    kept = docs.select(docs[id_col].cast("long").alias("doc_id"), text, F.xxhash64(text).alias("mark"))
+    return kept.transform(bounded).mapInArrow(run, "doc_id long, fp long, mark long")
 
 
 def _parity_masks() -> list[int]:
@@ -112,21 +113,23 @@ def near_pairs(prints: DataFrame, distance: int = 2) -> DataFrame:
     return pairs.selectExpr("least(node_a, node_b) AS a", "greatest(node_a, node_b) AS b").distinct()
 
 
+def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2) -> DataFrame:
+    """``(doc_id, fp, mark, root)`` per row of docs: root is the smallest fingerprint reachable by links."""
+    rows = stash(fingerprint_table(docs, id_col, text_col, shingle), "fingerprints")
+    prints = stash(rows.select("fp").distinct().withColumn("node", F.col("fp")), "prints")
+    roots = stash(components(near_pairs(prints, distance)).select(F.col("node").alias("fp"), "root"), "roots")
+    return rows.join(roots, "fp", "left").select("doc_id", "fp", "mark", F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2
 ) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` per row of docs; component_id is the smallest doc_id reachable by links.
 
-    Null and empty texts share fingerprint 0 and link like any other; repeated rows are kept; a null doc_id gets the id
-    of its group, or null in a group without ids. Other columns of docs are not looked at. An empty table gives none.
+    Null and empty texts share fingerprint 0 and link like any other; repeated rows are kept; rows of one doc_id with other
+    texts are documents of their own, linked by their fingerprints alone; a null doc_id gets the id of its group, or null in
+    a group without ids. Other columns of docs are not looked at. An empty table gives none.
     """
-    rows = stash(fingerprint_table(docs, id_col, text_col, shingle), "fingerprints")
-    prints = stash(rows.groupBy("fp").agg(F.min("doc_id").alias("node")), "prints")
-    roots = components(near_pairs(prints.where("node IS NOT NULL"), distance))
-    classes = prints.join(roots, "node", "left").select(
-        F.col("fp").alias("class_fp"), F.coalesce("root", "node").alias("component_id")
-    )
-    classes = stash(classes, "classes")
-    return rows.join(classes, rows["fp"] == classes["class_fp"]).select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    rows = stash(simhash_classes(docs, id_col, text_col, shingle, distance), "classes")
+    least = stash(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
+    return rows.join(least, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
