@@ -1,20 +1,25 @@
 """Token ids of whole texts from a public tokenizer file, with a memo of chunks between white space.
 
 The tokenizer drops white space and treats what lies between it alone, so a text's ids are its chunks' ids in a row; the
-memo holds them as little-endian unsigned 32-bit bytes, and is emptied when full. A chunk of Latin letters, with one full
-stop or comma after it or not, goes to the library's BPE model by itself, all others through the library's encoder.
+memo holds them as little-endian unsigned 32-bit bytes. It is bounded by bytes, and emptied when full and when a task
+ends, since Python workers outlive their tasks. Long texts are cut at white space and encoded part by part. A chunk of
+Latin letters, with one full stop or comma after it or not, goes to the library's BPE model by itself, all others through
+the library's encoder.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 from tokenizers import Tokenizer
 
-#: Chunks in a process's memo (some 250 bytes each), at most.
-MEMO_CHUNKS = 600_000
+#: Bytes of a process's memo at which it is emptied; an entry takes ENTRY_BYTES besides its letters and ids.
+MEMO_BYTES, ENTRY_BYTES = 96 << 20, 200
+#: Characters of a text that are cut into chunks together: a longer text is encoded in parts of about so many.
+PART_CHARS = 1 << 18
 ID_BYTES = 4
 #: Bytes of text that are encoded together: new chunks are found once for all of them.
 ENCODE_BYTES = 4 << 20
@@ -27,6 +32,21 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+_BLANK = re.compile(r"[ \t\n\r]")
+
+
+def parts(text: str) -> Iterator[str]:
+    """The text in parts that end at white space; a chunk is never cut."""
+    at = 0
+    while len(text) - at > PART_CHARS:
+        blank = _BLANK.search(text, at + PART_CHARS)
+        if not blank:
+            break
+        yield text[at : blank.start()]
+        at = blank.end()
+    yield text[at:] if at else text
+
+
 class ChunkEncoder:
     """Ids of texts by the ``word_bpe`` kind of tokenizer file: NFC, lower case, white space dropped, word ends marked."""
 
@@ -35,6 +55,7 @@ class ChunkEncoder:
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.memo: dict[str, bytes] = {}
+        self.held = 0
         self.ends = {c: self._whole([c])[0] for c in ".,"}
 
     def _whole(self, chunks: list[str]) -> list[bytes]:
@@ -47,8 +68,12 @@ class ChunkEncoder:
             word = word.encode().decode("latin-1").translate(self.letters)
         return np.array([t.id for t in self.model.tokenize(word)], "<u4").tobytes()
 
+    def clear(self) -> None:
+        self.memo.clear()
+        self.held = 0
+
     def learn(self, chunks: Iterable[str]) -> None:
-        memo, other = self.memo, []
+        memo, other, before = self.memo, [], len(self.memo)
         for chunk in chunks:
             end = self.ends.get(chunk[-1], b"")
             core = chunk[:-1] if end else chunk
@@ -60,18 +85,24 @@ class ChunkEncoder:
             else:
                 other.append(chunk)
         memo.update(zip(other, self._whole(other), strict=True))
+        self.held += (len(memo) - before) * ENTRY_BYTES + sum(map(len, other)) * (ID_BYTES + 1)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
+        if any(len(t) > PART_CHARS for t in texts):
+            return [b"".join(x for p in parts(t) for x in self._encode([p])) if len(t) > PART_CHARS else self._encode([t])[0] for t in texts]
+        return self._encode(texts)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         # the library takes four control characters for ordinary ones that Python's split takes for white space
         odd = {k for k, t in enumerate(texts) if any(c in t for c in "\x1c\x1d\x1e\x1f")}
         if odd:
-            rest = iter(self.encode([t for k, t in enumerate(texts) if k not in odd]))
+            rest = iter(self._encode([t for k, t in enumerate(texts) if k not in odd]))
             whole = dict(zip(sorted(odd), self._whole([texts[k] for k in sorted(odd)]), strict=True))
             return [whole[k] if k in odd else next(rest) for k in range(len(texts))]
         chunks = [t.split() for t in texts]
-        if len(self.memo) > MEMO_CHUNKS:
-            self.memo.clear()
+        if self.held > MEMO_BYTES:
+            self.clear()
         self.learn(set().union(*chunks) - self.memo.keys())
         get = self.memo.__getitem__
         return [b"".join(map(get, c)) for c in chunks]
@@ -85,3 +116,9 @@ def encoder(path: str) -> ChunkEncoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = ChunkEncoder(path)
     return _ENCODERS[path]
+
+
+def release() -> None:
+    """Give up the process's memos; called when a task ends."""
+    for held in _ENCODERS.values():
+        held.clear()

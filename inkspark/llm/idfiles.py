@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import idcoder
 from ._arrow import bounded, chunks
-from ._tokens import ENCODE_BYTES, ID_BYTES, encoder
+from ._tokens import ENCODE_BYTES, ID_BYTES, encoder, release
 
 END_ID = 1
 #: A record is closed at so many ids; a longer document is a record by itself.
@@ -64,18 +64,21 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id"
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=[c.split()[0] for c in FILE.split(", ")])
 
         held = 0
-        for part in chunks(batches, least=ENCODE_BYTES):
-            for name, ids in zip(part.column(0).to_pylist(), encoder(tokenizer).encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                n = len(ids) // ID_BYTES + 1
-                if held and held + n > RECORD_IDS:
-                    yield record()
-                    held = 0
-                names.append(name)
-                parts.append(ids + end)
-                lengths.append(n)
-                held += n
-        if held:
-            yield record()
+        try:
+            for part in chunks(batches, least=ENCODE_BYTES):
+                for name, ids in zip(part.column(0).to_pylist(), encoder(tokenizer).encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
+                    n = len(ids) // ID_BYTES + 1
+                    if held and held + n > RECORD_IDS:
+                        yield record()
+                        held = 0
+                    names.append(name)
+                    parts.append(ids + end)
+                    lengths.append(n)
+                    held += n
+            if held:
+                yield record()
+        finally:
+            release()
 
     rows.transform(bounded).mapInArrow(run, FILE).write.parquet(path)
 

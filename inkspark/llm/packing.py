@@ -1,7 +1,8 @@
 """Packing documents into sequences: first-fit decreasing with a tournament tree, in randomised groups.
 
-Documents are dealt to groups of about ``group_docs`` by a hash, and each group is packed alone. In a group, a document of
-more than ``size`` ids gives full sequences from its start; the rests go, longest first, each to the first sequence with
+Rows are dealt to groups by a hash of their contents and their place in the input, so that copies of a row are dealt apart
+like any others; a group has about ``group_docs`` documents and ``group_bytes`` of text, and is packed alone. In a group, a
+document of more than ``size`` ids gives full sequences from its start; the rests go, longest first, each to the first sequence with
 room, found from the root of a tournament tree whose inner nodes hold the largest free capacity below. Cutting is free, so
 the emptiest sequences are then cut to top up the fullest, and the one that stays short is cut into sequences of powers of
 two, which need no padding either: a group of n ids leaves no padding at all.
@@ -9,17 +10,19 @@ two, which need no padding either: a group of n ids leaves no padding at all.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import chunks
-from ._tokens import ENCODE_BYTES, ID_BYTES, encoder
+from ._arrow import bounded, chunks
+from ._tokens import ENCODE_BYTES, ID_BYTES, encoder, release
 
 SIZE = 4096
 END_ID = 2
-GROUP_DOCS = 1024
+GROUP_DOCS, GROUP_BYTES = 1024, 8 << 20
 #: (row, start, length): a stretch of a document's ids.
 Piece = tuple[int, int, int]
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -108,6 +111,17 @@ def pack(lengths: list[int], size: int = SIZE) -> list[list[Piece]]:
     return whole + bins
 
 
+def _pieces(group: int, names: list[int | None], ids: list[bytes], size: int) -> pa.RecordBatch:
+    lengths, out = [len(x) // ID_BYTES for x in ids], []
+    for nth, sequence in enumerate(pack(lengths, size)):
+        at = 0
+        for row, start, n in sequence:
+            out.append((names[row], start, n, ids[row][start * ID_BYTES : (start + n) * ID_BYTES], lengths[row], (group << 32) + nth, at))
+            at += n
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
+
+
 def packed(
     docs: DataFrame,
     tokenizer: str,
@@ -116,29 +130,37 @@ def packed(
     size: int = SIZE,
     end_id: int = END_ID,
     group_docs: int = GROUP_DOCS,
+    group_bytes: int = GROUP_BYTES,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian unsigned 32 bits), doc_tokens, sequence_id, offset.
 
-    A null or empty text is its end id alone; repeated rows are documents of their own; other columns are not looked at.
-    An empty table gives no rows. A group's texts meet in one task: some ``group_docs`` documents, whatever the input.
+    A null or empty text is its end id alone; repeated rows, and rows of one doc_id, are documents of their own; other
+    columns are not looked at. An empty table gives no rows. docs must read the same rows in the same partitions again if a
+    task is repeated, as a table does. A task holds one group's ids at a time, and texts in Arrow batches.
     """
-    groups = max(1, -(-docs.count() // group_docs))
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    rows = rows.withColumn("group", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)))
+    n, n_bytes = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    groups = max(1, -(-n // group_docs), -(-n_bytes // group_bytes))
+    rows = rows.withColumn("place", F.monotonically_increasing_id())
+    rows = rows.withColumn("group", F.pmod(F.xxhash64("doc_id", "text", "place"), F.lit(groups)))
+    dealt = rows.select("doc_id", "text", "group", "place").repartition("group").sortWithinPartitions("group", "place").select("doc_id", "text", "group")
     end = np.array([end_id], "<u4").tobytes()
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        ids: list[bytes] = []
-        for part in chunks(table.combine_chunks().to_batches(), least=ENCODE_BYTES):
-            ids += [x + end for x in encoder(tokenizer).encode([t or "" for t in part.column(1).to_pylist()])]
-        names, lengths, out = table["doc_id"].to_pylist(), [len(x) // ID_BYTES for x in ids], []
-        for nth, sequence in enumerate(pack(lengths, size)):
-            at = 0
-            for row, start, n in sequence:
-                out.append((names[row], start, n, ids[row][start * ID_BYTES : (start + n) * ID_BYTES], lengths[row], (key[0].as_py() << 32) + nth, at))
-                at += n
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
-
-    return rows.groupBy("group").applyInArrow(run, SCHEMA)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, names, ids = None, [], []
+        try:
+            for part in chunks(batches, least=ENCODE_BYTES):
+                texts = encoder(tokenizer).encode([t or "" for t in part.column(1).to_pylist()])
+                for group, name, own in zip(part.column(2).to_pylist(), part.column(0).to_pylist(), texts, strict=True):
+                    if group != now and ids:
+                        yield _pieces(now, names, ids, size)
+                        names, ids = [], []
+                    now = group
+                    names.append(name)
+                    ids.append(own + end)
+            if ids:
+                yield _pieces(now, names, ids, size)
+        finally:
+            release()
+
+    return dealt.transform(bounded).mapInArrow(run, SCHEMA)
