@@ -73,6 +73,14 @@ def test_packing(docs, nothing):
     assert packing.packed(nothing, PATH).count() == 0
 
 
+def test_packing_deals_copies_apart(spark):
+    pieces = packing.packed(spark.createDataFrame([(1, "the same text again and again")] * 400, "doc_id long, text string"), PATH, size=64, group_docs=20).collect()
+    per_group = {}
+    for p in pieces:
+        per_group[p.sequence_id >> 32] = per_group.get(p.sequence_id >> 32, 0) + p.length
+    assert len(per_group) > 10 and max(per_group.values()) < 60 * pieces[0].doc_tokens
+
+
 def _grouped(values, distance):
     """Smallest id of each value's component, by comparing all pairs."""
     label = {i: i for i, _ in values}
@@ -139,21 +147,40 @@ def test_decontamination_threshold(spark):
     assert got == {cut: 20 - cut for cut in range(5)}
 
 
-def test_top_k(spark):
+def _best_by_comparison(rows, asked, k=5):
+    """Each query's k best other ids by the best score of any of its rows, comparing all rows."""
+    vectors = {}
+    for i, v in rows:
+        if i is not None and v is not None:
+            vectors.setdefault(i, []).append(v)
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=False))
+    out = {}
+    for q in filter(asked, vectors):
+        scores = sorted((-max(dot(a, b) for a in vectors[q] for b in vs), i) for i, vs in vectors.items() if i != q)[:k]
+        out |= {(q, n + 1): (i, -s) for n, (s, i) in enumerate(scores)}
+    return out
+
+
+def test_top_k(spark, monkeypatch):
     r = np.random.default_rng(3)
-    rows = [(k, r.integers(-3, 4, 6).tolist()) for k in range(120)] + [(k, [1] * 6) for k in range(200, 260)] + [(0, rows0 := [2] * 6), (500, [])]
-    rows[0] = (0, rows0)
+    rows = [(k, r.integers(-3, 4, 6).tolist()) for k in range(120)] + [(k, [1] * 6) for k in range(200, 260)] + [(500, []), (None, [9] * 6), (501, None)]
+    rows += [(0, [2] * 6), (0, [2] * 6), (20, [3] * 6), (20, [-3] * 6), (7, [4, 0, 0, 0, 0, 1]), (7, [0, 4])]  # ids with several vectors, rows twice
     frame = spark.createDataFrame(rows, "vec_id long, vec array<long>")
+    monkeypatch.setattr(topk, "QUERY_CHUNK", 5)  # several chunks, blocks and heads
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 40)
     got = {(x.query_id, x["rank"]): (x.vec_id, x.score) for x in topk.top_k(frame, "vec_id % 20 = 0").collect()}
-    vectors = dict(rows)
-    for q in [k for k in vectors if k % 20 == 0]:
-        scores = sorted((-sum(a * b for a, b in zip(vectors[q], v, strict=False)), k) for k, v in vectors.items() if k != q)[:5]
-        assert [got[q, n + 1] for n in range(5)] == [(k, -s) for s, k in scores]
+    assert got == _best_by_comparison(rows, lambda q: q % 20 == 0)
     few = spark.createDataFrame([(0, [1]), (1, [2])], "vec_id long, vec array<long>")
     assert [tuple(x) for x in topk.top_k(few, "vec_id = 0").collect()] == [(0, 1, 1, 2)]
     assert topk.top_k(frame.where("false"), "vec_id = 0").count() == 0 and topk.top_k(few, "vec_id = 9").count() == 0
 
 
+def test_top_k_of_one_id_with_several_vectors(spark):
+    rows = [(0, [10]), (0, [11]), *((k, [k]) for k in range(1, 8))]
+    got = {(x.query_id, x["rank"]): (x.vec_id, x.score) for x in topk.top_k(spark.createDataFrame(rows, "vec_id long, vec array<long>"), "vec_id = 0").collect()}
+    assert got == _best_by_comparison(rows, lambda q: q == 0) and len(got) == 5
+
+
 def test_integer_vectors(spark):
     rows = [(1, [0.5, -0.001]), (2, None), (3, [None, 1.0]), (4, [float("nan")]), (5, [float("inf")]), (None, [1.0]), (6, [])]
     got = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
@@ -209,6 +236,17 @@ def test_language(spark, docs, nothing):
     assert langid.identify(nothing, model).count() == 0
 
 
+def test_language_rows_without_ids_and_copies(spark):
+    rows = [(None, "le chat et le chien dans la maison", "xx")] * 50 + [(1, f"the cat and the dog number {k}", "en") for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for bound in (1, 5, 20):
+        model = langid.train(docs, bound=bound)
+        assert model.langs == ["en", "xx"]
+    told = spark.createDataFrame([(1, "le chien", 2.0), (2, "\u4e2d\u6587" * 300, 2.0)], "doc_id long, text string, score double")
+    got = {r.doc_id: r for r in langid.identify(told, model, names=("a", "b", "c")).collect()}
+    assert got[1].a == "xx" and got[1].score == 2.0 and got[1].c and not got[2].c
+
+
 def test_language_held_out_accuracy(spark):
     got = queries.op5_ppm_language(spark, "/root/testdata/sf0.01")
     rows = got.join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL").collect()
@@ -235,6 +273,7 @@ def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
     rows = [(i, t, "en", "s", len(t or "")) for i, t in TEXTS if i is not None] + [(20, f"before {ITEM} after that", None, "s", 1), (21, "A clean text of its own words.", "en", "s", 1)]
+    rows += [(7, "The same id with quite another text, which stays.", "en", "s", 1), (13, f"{ITEM} is here, under the id of a clean text.", "en", "s", 1)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
@@ -245,8 +284,9 @@ def test_pipeline(spark, tmp_path):
         docs.write.parquet(f"{tmp_path}/{name}")
         docs = spark.read.parquet(f"{tmp_path}/{name}")
         kept[name] = sorted(r.doc_id for r in docs.collect())
-    assert kept["language_id"] == [4, 7, 7, 9, 11, 13, 20, 21]
-    assert kept["near_dedup"].count(7) == 1
+    assert kept["language_id"] == [4, 7, 7, 7, 9, 11, 13, 13, 20, 21]
+    assert kept["near_dedup"].count(7) == 2 and kept["near_dedup"].count(13) == 2
+    assert kept["decontamination"].count(13) == 1
     assert not {4, 11, 20} & set(kept["decontamination"]) and {7, 9, 13, 21} <= set(kept["decontamination"])
     text = {r.doc_id: r for r in docs.collect()}
     assert "hunter22" not in text[13].text and text[13].n_chars == len(text[13].text)
