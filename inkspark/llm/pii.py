@@ -11,6 +11,7 @@ import string
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -21,7 +22,8 @@ BASE = ["email", "ip", "card", "phone"]
 KINDS = [*BASE, *(f"hidden_{k}" for k in BASE)]
 
 EMAIL = re.compile(rb"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(rb"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: As the contract's pattern, whose leftmost match always starts a group of digits; each byte is read a few times at most.
+IP = re.compile(rb"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(rb"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(rb"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = byte_class(string.ascii_letters + string.digits + "._%+-")
@@ -40,12 +42,13 @@ LEAST_SPELLED = 7
 UNSEEN = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 _WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _LOOKALIKE = re.escape("".join(HOMOGLYPHS))
+#: White space in front is looked for from its first character on and never given back, so that long gaps cost once.
 RULES = re.compile(
-    rf"""(?P<at>\s*[(\[{{<]\s*(?:at|ät|arroba|@)\s*[)\]}}>]\s*)
-    |(?P<plain_at>(?<=[\w%+-])\s+(?:at|arroba)\s+(?=[\w-]+(?:\s*[(\[{{]\s*(?:dot|punkt|punto|point|\.)\s*[)\]}}]\s*|\s+(?:dot|punkt|punto)\s+)\w))
-    |(?P<dot>\s*[(\[{{<]\s*(?:dot|punkt|punto|point|\.)\s*[)\]}}>]\s*)
-    |(?P<plain_dot>(?<=\w)\s+(?:dot|punkt|punto)\s+(?=\w))
-    |(?P<digits>(?<!\w)(?:(?:plus|\+)[\s,.-]*)?(?:{_WORD})(?:[\s,.-]+(?:{_WORD})(?!\w)){{{LEAST_SPELLED - 1},}})
+    rf"""(?P<at>(?<!\s)\s*+[(\[{{<]\s*+(?:at|ät|arroba|@)\s*+[)\]}}>]\s*+)
+    |(?P<plain_at>(?<=[\w%+-])\s++(?:at|arroba)\s++(?=[\w-]++(?:\s*+[(\[{{]\s*+(?:dot|punkt|punto|point|\.)\s*+[)\]}}]\s*+|\s++(?:dot|punkt|punto)\s++)\w))
+    |(?P<dot>(?<!\s)\s*+[(\[{{<]\s*+(?:dot|punkt|punto|point|\.)\s*+[)\]}}>]\s*+)
+    |(?P<plain_dot>(?<=\w)\s++(?:dot|punkt|punto)\s++(?=\w))
+    |(?P<digits>(?<!\w)(?:(?:plus|\+)[\s,.-]*+)?(?:{_WORD})(?:[\s,.-]++(?:{_WORD})(?!\w)){{{LEAST_SPELLED - 1},}}+)
     |(?P<glyph>(?-i:[{_LOOKALIKE}！-～]|(?![0-9])\d|[{UNSEEN}]))""",
     re.I | re.X,
 )
@@ -136,9 +139,11 @@ def normalised(text: str) -> tuple[str, list[tuple[int, int, int, int]]]:
     return "".join(out), pieces
 
 
-def to_source(pieces: list[tuple[int, int, int, int]], start: int, end: int) -> tuple[int, int] | None:
-    """The source characters behind a span of the rewritten text; None if none of it was rewritten."""
-    starts = [p[0] for p in pieces]
+def to_source(pieces: list[tuple[int, int, int, int]], starts: list[int], start: int, end: int) -> tuple[int, int] | None:
+    """The source characters behind a span of the rewritten text; None if none of it was rewritten.
+
+    ``starts`` holds the pieces' places in the rewritten text, once for all spans.
+    """
 
     def place(at: int, last: bool) -> int:
         k = bisect_right(starts, at) - 1
@@ -196,15 +201,22 @@ def hidden_spans(block: Block) -> Found:
         text, pieces = normalised(source)
         if not pieces:
             continue
-        other, spans = Block([text.encode()]), []
-        for kind, a, b in base_spans(other):
-            x, y = (int(p) for p in other.points(np.array([a, b]), np.array([0, 0])))
-            if found := to_source(pieces, x, y):
-                spans.append((f"hidden_{kind}", *found))
+        other, spans, starts = Block([text.encode()]), [], [p[0] for p in pieces]
+        found = base_spans(other)
+        edges = other.points(np.array([x[1:] for x in found], np.int64).reshape(-1, 2), np.zeros((len(found), 1), np.int64)).tolist()
+        for (kind, _, _), (a, b) in zip(found, edges, strict=True):
+            if place := to_source(pieces, starts, a, b):
+                spans.append((f"hidden_{kind}", *place))
+        held = sorted((a, b) for _, a, b in spans)
+        reach = list(accumulate((b for _, b in held), max))
         for start, end in spelled_numbers(source):
-            if not any(a < end and b > start for _, a, b in spans):
+            k = bisect_right(held, end - 1, key=lambda x: x[0])
+            if not k or reach[k - 1] <= start:
                 spans.append(("hidden_phone", start, end))
-        out += [(kind, *(len(source[:p].encode()) + int(block.starts[row]) for p in place)) for kind, *place in spans]
+        if spans:  # code points to bytes
+            data = source.encode()
+            at = np.append(np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80), len(data)) + int(block.starts[row])
+            out += [(kind, int(at[a]), int(at[b])) for kind, a, b in spans]
     return out
 
 
