@@ -9,7 +9,7 @@ DOM. The minimum cut is the labelling of least total cost; the source's side is
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -19,11 +19,11 @@ from pyspark.sql import types as T
 
 from ._arrow import bounded, chunks
 
-TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|math|iframe|object|head|title|textarea|select)\b.*?(?:</(?P=raw)\s*>|\Z)
-    |<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)""",
-    re.S | re.I | re.X,
-)
+_LEAD = r"""<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|math|iframe|object|head|title|textarea|select)\b.*?(?:</(?P=raw)\s*+>|\Z)|<[!?/](?![a-zA-Z])[^>]*+(?:>|\Z)"""
+_TAG = r"<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)"
+TOKEN = re.compile(rf"""{_LEAD}|{_TAG}(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|(?P<torn></?[a-zA-Z])""", re.S | re.I)
+#: Behind a quote that is never closed, quotes count no more: a tag ends at the next bracket or with the page.
+LOOSE = re.compile(rf"{_LEAD}|{_TAG}(?P<attrs>[^>]*+)(?:>|\Z)", re.S | re.I)
 ATTR = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 
 # Elements by what they do to blocks, and names that tell boilerplate from content.
@@ -39,10 +39,14 @@ BOILER_NAMES = frozenset(
 )
 MAIN_NAMES = frozenset("article main content post entry story".split())
 
-#: Weights of the classifier, in nats for content.
-BIAS, IN_MAIN, IN_BOILER, PROSE, LINKED, SENTENCE, WORDS, MOST_WORDS = -1.0, 3.0, -8.0, 1.0, -4.0, 0.5, 1 / 15, 2.0
-#: Smoothness of neighbours at distance 0, and the distance in the DOM beyond which it falls no further.
-SMOOTH, FARTHEST = 1.2, 8
+#: Weights of the classifier, in nats for content. Names and elements that say what they hold weigh most; what words,
+#: sentences and links say of a block is weak, and can be overruled by its neighbours.
+BIAS, IN_MAIN, IN_BOILER, PROSE, LINKED, SENTENCE, WORDS, MOST_WORDS = -0.8, 3.0, -8.0, 0.5, -2.0, 0.7, 1 / 15, 2.0
+#: Smoothness of neighbours at distance 0, of blocks that follow each other under one parent, and the distance in the DOM
+#: beyond which it falls no further.
+SMOOTH, SIBLINGS, FARTHEST = 3.0, 0.6, 8
+#: Elements are nested so deep at most; deeper ones are siblings, as in browsers.
+DEEPEST = 256
 
 
 class Block:
@@ -74,6 +78,17 @@ def _child(tag: str, attrs: str, parent: Node) -> Node:
     return Node(tag, parent, main, boiler)
 
 
+def tokens(html: str) -> Iterator[re.Match[str]]:
+    """Tags, comments and raw elements, each byte read a few times at most, whatever the quotes."""
+    pattern, at = TOKEN, 0
+    while m := pattern.search(html, at):
+        if pattern is TOKEN and m["torn"]:
+            pattern = LOOSE
+            m = pattern.match(html, m.start())
+        yield m
+        at = m.end()
+
+
 def blocks_of(html: str) -> list[Block]:
     """Stretches of text between block-level tags, in page order; empty ones are left out."""
     root = node = Node("", None, False, False)
@@ -90,7 +105,8 @@ def blocks_of(html: str) -> list[Block]:
             if links:
                 now.linked += len(piece)
 
-    for m in TOKEN.finditer(html):
+    opened: Counter[str] = Counter()
+    for m in tokens(html):
         text(html[at : m.start()])
         at = m.end()
         tag = (m["tag"] or "").lower()
@@ -108,6 +124,8 @@ def blocks_of(html: str) -> list[Block]:
         if tag in VOID:
             continue
         if m["close"]:
+            if not opened[tag]:
+                continue
             up = node
             while up is not root and up.tag != tag:
                 if tag in INLINE and up.tag not in INLINE:
@@ -115,15 +133,23 @@ def blocks_of(html: str) -> list[Block]:
                     break
                 up = up.parent
             if up is not root:
-                node = up.parent
+                while node is not up.parent:
+                    opened[node.tag] -= 1
+                    node = node.parent
         elif not m["attrs"].endswith("/"):
             if tag not in INLINE:  # a new block ends an open paragraph; a list item ends the one before
                 up = node
                 while up is not root and (up.tag in INLINE or up.tag == "p" or (up.tag == tag and tag in ("li", "dt", "dd", "td", "th", "tr", "option"))):
                     if up.tag not in INLINE:
-                        node = up.parent
+                        while node is not up.parent:
+                            opened[node.tag] -= 1
+                            node = node.parent
                     up = up.parent
+            if node.depth >= DEEPEST:
+                opened[node.tag] -= 1
+                node = node.parent
             node = _child(tag, m["attrs"], node)
+            opened[tag] += 1
     text(html[at:])
     return [b for b in out if any(p.strip() for p in b.parts)]
 
@@ -161,68 +187,97 @@ def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
     for k, home in enumerate(homes):
         key = id(home.parent)
         if (j := last.get(key)) is not None and j < k - 1:
-            out.append((j, k, SMOOTH / 2))
+            out.append((j, k, SIBLINGS))
         last[key] = k
     return out
 
 
+class Network:
+    """Arcs of a flow network; arc 2 i runs back along arc 2 i + 1."""
+
+    def __init__(self, n: int):
+        self.out: list[list[int]] = [[] for _ in range(n)]
+        self.head: list[int] = []
+        self.room: list[float] = []
+
+    def join(self, a: int, b: int, there: float, back: float = 0.0) -> None:
+        for x, y, room in ((a, b, there), (b, a, back)):
+            self.out[x].append(len(self.head))
+            self.head.append(y)
+            self.room.append(room)
+
+    def levels(self, source: int) -> list[int]:
+        """Steps from the source over arcs with room; -1 where none leads."""
+        level, line = [-1] * len(self.out), [source]
+        level[source] = 0
+        for a in line:
+            for arc in self.out[a]:
+                b = self.head[arc]
+                if level[b] < 0 and self.room[arc] > EPSILON:
+                    level[b] = level[a] + 1
+                    line.append(b)
+        return level
+
+    def maximum_flow(self, source: int, sink: int) -> list[int]:
+        """Saturates by blocking flows over shortest paths; the levels of the last, cut network."""
+        while (level := self.levels(source))[sink] >= 0:
+            nth, path = [0] * len(self.out), []
+            while True:
+                a = self.head[path[-1]] if path else source
+                if a == sink:
+                    push = min(self.room[arc] for arc in path)
+                    for arc in path:
+                        self.room[arc] -= push
+                        self.room[arc ^ 1] += push
+                    full = next(k for k, arc in enumerate(path) if self.room[arc] <= EPSILON)
+                    del path[full:]
+                    continue
+                while nth[a] < len(self.out[a]):
+                    arc = self.out[a][nth[a]]
+                    if self.room[arc] > EPSILON and level[self.head[arc]] == level[a] + 1:
+                        path.append(arc)
+                        break
+                    nth[a] += 1
+                else:
+                    if not path:
+                        break
+                    nth[self.head[path.pop() ^ 1]] += 1
+        return level
+
+
+EPSILON = 1e-9
+
+
 def minimum_cut(terminal: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """Labels of least cost: node k costs |terminal[k]| when it is not on the side of its sign, a cut edge its weight.
 
-    A node whose terminal outweighs its edges has the label of its sign in some optimum, and its edges become terminals of
-    its neighbours; maximum flow by shortest augmenting paths settles the rest. Ties go to False.
+    Maximum flow from the content terminal to the boilerplate terminal; the blocks that the first still reaches are
+    content. Ties go to boilerplate.
     """
     n = len(terminal)
-    value, near, label = list(terminal), [{} for _ in range(n)], [None] * n
-    for a, b, w in edges:
-        near[a][b] = near[a].get(b, 0.0) + w
-        near[b][a] = near[b].get(a, 0.0) + w
-    todo = deque(range(n))
-    while todo:
-        k = todo.popleft()
-        if label[k] is None and abs(value[k]) > sum(near[k].values()) or label[k] is None and not near[k]:
-            label[k] = value[k] > 0
-            for j, w in near[k].items():
-                value[j] += w if label[k] else -w
-                del near[j][k]
-                todo.append(j)
-            near[k] = {}
-    rest = [k for k in range(n) if label[k] is None]
-    if rest:
-        source, sink = n, n + 1
-        room = {k: dict(near[k]) for k in rest} | {source: {}, sink: {}}
-        for k in rest:
-            a, b = (source, k) if value[k] > 0 else (k, sink)
-            room[a][b], room[b][a] = abs(value[k]), room[b].get(a, 0.0)
-        while True:
-            came, line = {source: source}, deque([source])
-            while line and sink not in came:
-                a = line.popleft()
-                for b, c in room[a].items():
-                    if c > 1e-12 and b not in came:
-                        came[b] = a
-                        line.append(b)
-            if sink not in came:
-                break
-            path, b = [], sink
-            while b != source:
-                path.append((came[b], b))
-                b = came[b]
-            push = min(room[a][b] for a, b in path)
-            for a, b in path:
-                room[a][b] -= push
-                room[b][a] += push
-        for k in rest:
-            label[k] = k in came
-    return label
+    source, sink, net = n, n + 1, Network(n + 2)
+    for k, value in enumerate(terminal):
+        if value > 0:
+            net.join(source, k, value)
+        elif value < 0:
+            net.join(k, sink, -value)
+    for a, b, weight in edges:
+        net.join(a, b, weight, weight)
+    return [level >= 0 for level in net.maximum_flow(source, sink)[:n]]
+
+
+def graph(html: str) -> tuple[list[tuple[Block, str]], list[float], list[tuple[int, int, float]]]:
+    """Blocks with their text, their terminals and their edges."""
+    found = [(b, " ".join(unescape("".join(b.parts)).split())) for b in blocks_of(html)]
+    found = [(b, t) for b, t in found if t]
+    return found, [score(b, t) for b, t in found], edges_of([b for b, _ in found])
 
 
 def main_text(html: str) -> tuple[str, int, int]:
     """The main text, the number of blocks, and how many of them it is made of."""
-    found = [(b, " ".join(unescape("".join(b.parts)).split())) for b in blocks_of(html)]
-    found = [(b, t) for b, t in found if t]
-    blocks = [b for b, _ in found]
-    label = minimum_cut([score(b, t) for b, t in found], edges_of(blocks))
+    found, terminal, edges = graph(html)
+    label = minimum_cut(terminal, edges)
+    blocks = found
     kept = [t for (_, t), ok in zip(found, label, strict=True) if ok]
     return "\n".join(kept), len(blocks), len(kept)
 

@@ -104,6 +104,49 @@ def test_main_text():
     assert pages.main_text("<article><p>cut off in the mid")[0] == "cut off in the mid"
 
 
+def _drawn_page(r):
+    """A page without telling names, and its main text: an article between link lists, with weak blocks on both sides."""
+    word = lambda: "".join(r.choices(LOWER, k=r.randint(2, 9)))
+    sentence = lambda n: " ".join(word() for _ in range(n)).capitalize() + "."
+    links = lambda n: "<div>" + "".join(r.choice([f"<div><a href='/{k}'>{word()} {word()}</a></div>", f"<div>{word()}</div>", f"<div>{word()}: <a href=x>{word()}</a></div>"]) for k in range(n)) + "</div>"
+    text, inner = [], []
+    for _ in range(r.randint(4, 9)):
+        kind = r.randrange(5)
+        block = sentence(r.randint(25, 60)) if kind < 3 else " ".join(word() for _ in range(r.randint(1, 4)))
+        inner.append(f"<{'p' if kind < 3 else r.choice(['h3', 'div', 'p'])}>{block}</{'p'}>" if kind < 3 else f"<h3>{block}</h3>" if kind == 3 else f"<div>{block}</div>")
+        text.append(block)
+    first, last = (sentence(40) for _ in range(2))
+    return f"<body>{links(r.randint(3, 8))}<div><p>{first}</p>{''.join(inner)}<p>{last}</p></div>{links(r.randint(3, 8))}</body>", [first, *text, last]
+
+
+def _page_f1(edges):
+    right = said = true = moved = 0
+    for seed in range(150):
+        html, text = _drawn_page(random.Random(seed))
+        found, terminal, joined = pages.graph(html)
+        label = pages.minimum_cut(terminal, joined if edges else [])
+        got = [t for (_, t), ok in zip(found, label, strict=True) if ok]
+        right, said, true = right + len(set(got) & set(text)), said + len(got), true + len(text)
+        moved += label != [v > 0 for v in terminal]
+    return 2 * right / (said + true), moved
+
+
+def test_neighbours_decide_weak_blocks():
+    (joined, moved), (alone, none) = _page_f1(True), _page_f1(False)
+    assert joined > 0.97 and alone < joined - 0.05 and moved > 75 and not none
+
+
+@pytest.mark.parametrize("html", ['<a "' * 10**6, "<b><p>" * 50_000, "<b>" * 10**5 + "</i>" * 10**5, "<script " * 10**5, "<!--" * 10**6, "<" * 10**6, "<li>x" * 20_000, "x" * 10**7])
+def test_long_pages_take_linear_time(html):
+    began = time.process_time()
+    pages.main_text(html)
+    assert time.process_time() - began < 6
+
+
+def test_page_with_an_open_quote():
+    assert pages.main_text('<article><p title="x>One.</p><p>Two.</p></article>')[0] == "One.\nTwo."
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
