@@ -2,7 +2,8 @@
 
 A-Z are lower-cased; words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. A block is a window of 2 L words, one every L words,
 where L is the longest template's word count, so a stretch of L words lies whole in some block. A block matches a template
-if it holds at least ``threshold`` of the template's distinct words.
+if it holds at least ``threshold`` of the template's distinct words, and all those that name its license: without them a
+short notice would match any other one of the same wording.
 
 The join orders a template's words by their frequency in the whole corpus, rarest first. A match shares ``need`` of the n
 words, hence one of the first n - need + 1 (prefix filter): only texts with such a word are cut into blocks. A block needs
@@ -32,23 +33,56 @@ THRESHOLD = 0.8
 # Phrases that name a license, and its label.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-# Short notices of common licenses, by label.
+# Notices of common licenses, by label.
 TEMPLATES = {
-    "agpl": ["GNU Affero General Public License as published by the Free Software Foundation"],
-    "apache": ["Licensed under the Apache License, Version 2.0", "you may not use this file except in compliance with the License"],
-    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that"],
-    "cc-by": ["Licensed under a Creative Commons Attribution 4.0 International License"],
-    "cc-by-nc": ["Licensed under CC BY-NC 4.0"],
-    "cc-by-sa": ["Licensed under CC BY-SA 4.0"],
+    "agpl": ["GNU Affero General Public License as published by the Free Software Foundation", "Released under the AGPL License"],
+    "apache": [
+        "Licensed under the Apache License, Version 2.0",
+        "you may not use this file except in compliance with the License",
+        "Released under the Apache License",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS",
+    ],
+    "bsd": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
+        "Released under the BSD License",
+    ],
+    "cc-by": ["Licensed under a Creative Commons Attribution 4.0 International License", "Licensed under CC BY 4.0"],
+    "cc-by-nc": ["Licensed under CC BY-NC 4.0", "Licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
+    "cc-by-sa": ["Licensed under CC BY-SA 4.0", "Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
     "gpl": [
         "This work is licensed under the GNU General Public License, version 3",
+        "Released under the GPL License",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY",
         "you can redistribute it and/or modify it under the terms of the GNU General Public License",
     ],
-    "lgpl": ["you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License"],
-    "mit": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "Released under the MIT License"],
-    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Released under the ISC License"],
+    "lgpl": ["Released under the LGPL License", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License"],
+    "mit": [
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
+        "Released under the MIT License",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
+    ],
+    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "Released under the MPL License"],
     "proprietary": ["All rights reserved. No part of this publication may be reproduced"],
 }
+# The words that name a license. A template that holds some of its label's matches no block without them.
+NAMES = {
+    "agpl": "affero agpl",
+    "apache": "apache file compliance basis",
+    "bsd": "bsd",
+    "cc-by": "attribution by",
+    "cc-by-nc": "nc noncommercial",
+    "cc-by-sa": "sa sharealike",
+    "gpl": "gnu gpl hope",
+    "isc": "isc fee",
+    "lgpl": "lesser lgpl",
+    "mit": "mit",
+    "mpl": "mozilla mpl",
+    "proprietary": "rights publication",
+}
+#: A template of fewer distinct words matches only whole.
+SHORT = 6
 MATCH = T.ArrayType(T.StructType([T.StructField("label", T.StringType()), T.StructField("template", T.LongType()), T.StructField("first_word", T.LongType()), T.StructField("containment", T.DoubleType()), T.StructField("best", T.BooleanType())]))
 
 MATCH_FIELDS = ("label", "template", "first_word", "containment", "best")
@@ -77,24 +111,25 @@ def word_frequencies(docs: DataFrame, vocabulary: list[bytes], text_col: str = "
 class Templates:
     """Templates as word lists in the corpus's frequency order, with an index of their prefixes."""
 
-    def __init__(self, templates: dict[str, list[str]], threshold: float, frequency: dict[bytes, int]):
-        self.rows, self.number, self.own, self.index, longest = [], [], [], defaultdict(list), 1
+    def __init__(self, templates: dict[str, list[str]], threshold: float, frequency: dict[bytes, int], names: dict[str, str] = NAMES):
+        self.rows, self.number, self.own, self.named, self.index, longest = [], [], [], [], defaultdict(list), 1
         for label, texts in sorted(templates.items()):
             for number, text in enumerate(texts):
                 longest = max(longest, len(words_of(text.encode())))
                 ordered = sorted(set(words_of(text.encode())), key=lambda w: (frequency.get(w, 0), w))
-                need = math.ceil(threshold * len(ordered) - 1e-9)
+                need = len(ordered) if len(ordered) < SHORT else math.ceil(threshold * len(ordered) - 1e-9)
                 for word in ordered[: len(ordered) - need + 1] if ordered else ():
                     self.index[word].append(len(self.rows))
                 self.rows.append((label, ordered, need))
                 self.number.append(number)
                 self.own.append(frozenset(ordered))
+                self.named.append(frozenset(words_of(names.get(label, "").encode())) & self.own[-1])
         self.longest = longest
 
     def containment(self, block: set[bytes], k: int) -> float:
-        """Of template k in the block; 0 where the length or the positional filter rules a match out."""
+        """Of template k in the block; 0 where the length, the names or the positional filter rule a match out."""
         _, ordered, need = self.rows[k]
-        if len(block) < need:
+        if len(block) < need or not self.named[k] <= block:
             return 0.0
         shared = 0
         for place, word in enumerate(ordered):
