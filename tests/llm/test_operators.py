@@ -1,6 +1,8 @@
 """The operators on small tables with nulls, empty and long texts, ties, repeated rows, extra columns, and no rows."""
 
+import hashlib
 import itertools
+import re
 import zlib
 
 import duckdb
@@ -269,6 +271,117 @@ def test_against_sql(spark, name):
     assert sorted(map(tuple, got.select(*columns).collect())) == sorted(con.sql(f"SELECT {', '.join(columns)} FROM ({queries.ORACLE_SQL[name]})").fetchall())
 
 
+@pytest.fixture(scope="module")
+def fixture_dir(docs, spark, tmp_path_factory):
+    """The small documents as the driver's tables, without rows of a null or repeated id."""
+    where = str(tmp_path_factory.mktemp("tables"))
+    once = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).select("doc_id", "text", "lang", "source", "n_chars")
+    extra = [(40, "é MIT License and the Apache   LICENSE; General public-license", "en", "s", 1), (41, "api_key: 'abcdef12' 0123456789abcdef01234567 é password = x9x9x9", "en", "s", 1), (42, "é 10.0.0.1 and 999.1.1.1 or 4111 1111 1111 1111, +49 170 1234567; a.b@c.de", "en", "s", 1)]
+    once.unionByName(spark.createDataFrame(extra, once.schema)).coalesce(1).write.parquet(f"{where}/documents.parquet")
+    return where
+
+
+def _documents(spark, where):
+    return {r.doc_id: r.text or "" for r in spark.read.parquet(f"{where}/documents.parquet").collect()}
+
+
+PATTERNS = {
+    "assign": r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+    "access": r"AKIA[A-Z0-9]+",
+    "hex": r"[0-9a-f]+",
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def _holds(kind, m):
+    digits = re.sub(r"[^0-9]", "", m[0])
+    if kind == "assign":
+        return len(m[1]) >= 6
+    if kind in ("access", "hex"):
+        return len(m[0]) >= {"access": 20, "hex": 24}[kind]
+    if kind == "ip":
+        return all(int(p) <= 255 for p in m[0].split("."))
+    if kind == "card":
+        return 16 <= len(digits) <= 19 and sum(int(d) if k % 2 == 0 else sum(divmod(2 * int(d), 10)) for k, d in enumerate(reversed(digits))) % 10 == 0
+    return kind == "email" or 8 <= len(digits) <= 15
+
+
+@pytest.mark.parametrize(("name", "kinds", "by_kind"), [("op4_markov_secrets", ["assign", "access", "hex"], False), ("op8_deobfuscated_pii", ["email", "ip", "card", "phone"], True)])
+def test_base_columns_of_spans(spark, fixture_dir, name, kinds, by_kind):
+    got = {r.doc_id: r for r in queries.QUERIES[name](spark, fixture_dir).collect()}
+    texts = _documents(spark, fixture_dir)
+    assert set(got) == set(texts)
+    for doc, text in texts.items():
+        spans = [(kind, *m.span()) for kind in kinds for m in re.finditer(PATTERNS[kind], text) if _holds(kind, m)]
+        assert [got[doc][f"n_{k}"] for k in kinds] == [sum(s[0] == k for s in spans) for k in kinds]
+        spans.sort(key=lambda s: (kinds.index(s[0]), s[1]) if by_kind else (s[1], kinds.index(s[0])))
+        listed = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        assert got[doc].base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
+        assert set(filter(None, listed.split(","))) <= set(got[doc].spans.split(","))
+
+
+def test_base_columns_of_licenses(spark, fixture_dir):
+    got = {r.doc_id: r for r in queries.op3_license_set_join(spark, fixture_dir).collect()}
+    for doc, text in _documents(spark, fixture_dir).items():
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        places = [(k, label) for phrase, label in licenses.PHRASES.items() for k in range(len(words)) if words[k : k + len(phrase.split())] == phrase.split()]
+        r = got[doc]
+        assert (r.n_words, r.n_base) == (len(words), len(places))
+        assert (r.first_word, r.last_word) == (min((k for k, _ in places), default=None), max((k for k, _ in places), default=None))
+        assert r.base_labels == ",".join(sorted({x for _, x in places})) and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
+
+
+def test_token_queries(spark, fixture_dir):
+    texts, library = _documents(spark, fixture_dir), Tokenizer.from_file(PATH)
+    ids = {k: library.encode(t, add_special_tokens=False).ids for k, t in texts.items()}
+    crc = lambda x: zlib.crc32(np.array(x, "<u4").tobytes())
+    got = sorted(map(tuple, queries.op1_mixing_range_coder(spark, fixture_dir).collect()))
+    at, want = 0, []
+    for k in sorted(texts):
+        want.append((k, at, len(ids[k]) + 1, crc([*ids[k], 1])))
+        at += len(ids[k]) + 1
+    assert got == want
+    for p in queries.op9_tournament_packing(spark, fixture_dir).collect():
+        whole = [*ids[p.doc_id], 2]
+        assert p.doc_tokens == len(whole) and p.ids_crc32 == crc(whole[p.start : p.start + p.length])
+
+
+def test_group_query(spark, fixture_dir):
+    texts = _documents(spark, fixture_dir)
+    values = [(k, int(simhash.fingerprints([t.encode()])[0])) for k, t in texts.items()]
+    label = _grouped(values, 2)
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in queries.op7_simhash_anchors(spark, fixture_dir).collect()}
+    assert got == {k: (f"{v:016x}", label[k]) for k, v in values}
+
+
+def test_rows_of_one_id_link_by_their_own_texts(spark):
+    rows = [(1, "one two three four"), (2, "quite another text of words"), (3, "one two three four"), (3, "quite another text of words"), (None, "one two three four"), (None, "of no other row")]
+    got = {(r.doc_id, r.component_id) for r in simhash.simhash_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 2), (3, 1), (3, 2), (None, 1), (None, None)}
+
+
+def test_page_query(spark, tmp_path):
+    spark.createDataFrame([(1, "u", "<main><p>Caf&eacute; one.</p></main>"), (2, None, None)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert sorted(map(tuple, queries.op6_mincut_pages(spark, str(tmp_path)).collect())) == [(1, "u", "Café one.", 9), (2, None, "", 0)]
+
+
+def test_pipeline_stages_on_nothing_and_on_clashing_names(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    columns = "doc_id long, text string, lang string, source string, n_chars long, score string, lang_pred string, fp string, mark string, found string, key string, root string"
+    rows = [(1, "a text of some words here", "en", "s", 1, *["x"] * 7), (None, None, None, None, None, *["y"] * 7)]
+    for frame in (spark.createDataFrame(rows, columns), spark.createDataFrame([], columns)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            got = stage(spark, frame, str(tmp_path))
+            assert got.columns == frame.columns
+            assert all(r.score in "xy" and r.score == r.mark for r in got.collect())
+        assert corpus_pipeline.pack(spark, frame, str(tmp_path)).count() == frame.count()
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
