@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bits of a token's place within its document in the stream order.
-PLACE_BITS = 32
+#: Documents of neighbouring ids whose new words are counted together when a vocabulary is cut at its cap.
+BLOCK_DOCS = 1 << 16
 
 
 def tokens(docs: DataFrame, script: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(word, place)``: maximal runs of script characters; place orders tokens by document and position."""
+    """``(word, place)``: maximal runs of script characters; place (id, pos) orders tokens by document and position.
+
+    A null text has none. Ids may be any longs, such as those of corpus_lines.
+    """
     runs = F.regexp_extract_all(text_col, F.lit(f"[{script}]+"), F.lit(0))
-    words = docs.select(F.col(id_col).alias("id"), F.posexplode(runs).alias("pos", "word"))
-    return words.select("word", (F.shiftleft(F.col("id").cast("long"), PLACE_BITS) + F.col("pos")).alias("place"))
+    words = docs.select(F.col(id_col).cast("long").alias("id"), F.posexplode(runs).alias("pos", "word"))
+    return words.select("word", F.struct("id", "pos").alias("place"))
 
 
 def word_counts(toks: DataFrame) -> DataFrame:
@@ -27,8 +30,19 @@ def word_frequency_top(toks: DataFrame, n: int) -> DataFrame:
 
 
 def capped_vocabulary(toks: DataFrame, cap: int) -> DataFrame:
-    """The first ``cap`` distinct words of two or more characters, in stream order."""
-    return word_counts(toks.where(F.length("word") >= 2)).orderBy("first_place").limit(cap).select("word", "first_place")
+    """The first ``cap`` distinct words of two or more characters, in stream order.
+
+    New words are counted per block of BLOCK_DOCS ids first; running sums over the blocks (one small row each) tell where
+    the cap is reached, and words are then ranked within their blocks, never all in one task.
+    """
+    firsts = toks.where(F.length("word") >= 2).groupBy("word").agg(F.min("place").alias("first_place"))
+    block = F.floor(F.col("first_place.id") / BLOCK_DOCS)
+    bounds = firsts.groupBy(block.alias("block")).agg(F.count("*").alias("n"))
+    so_far = F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    kept = bounds.withColumn("before", F.coalesce(so_far, F.lit(0))).where(F.col("before") < cap).select("block", "before")
+    rows = firsts.withColumn("block", block).join(kept, "block")
+    nth = F.row_number().over(Window.partitionBy("block").orderBy("first_place"))
+    return rows.withColumn("nth", nth + F.col("before")).where(F.col("nth") <= cap).select("word", "first_place")
 
 
 def _pairs(text: Column) -> Column:
@@ -52,9 +66,18 @@ def bigrams_within_words(toks: DataFrame) -> DataFrame:
 
 
 def bigrams_across_words(docs: DataFrame, script: str, text_col: str = "text") -> DataFrame:
-    """``(prev, next, cnt, p)`` of adjacent script characters of a document, other characters taken out first."""
-    kept = docs.select(F.regexp_replace(text_col, f"[^{script}]", "").alias("kept"))
-    return _probabilities(kept.select(F.explode(_pairs(F.col("kept"))).alias("pair"), F.lit(1).alias("cnt")))
+    """``(prev, next, cnt, p)`` of adjacent script characters of a document, other characters taken out first.
+
+    Pairs inside words come from distinct words with their counts; those across from the last and first characters of
+    neighbouring words, so a text never becomes an array of its characters.
+    """
+    runs = F.regexp_extract_all(text_col, F.lit(f"[{script}]+"), F.lit(0))
+    words = docs.select(runs.alias("w")).where("size(w) > 0")
+    inside = words.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("cnt"))
+    inside = inside.select(F.explode(_pairs(F.col("word"))).alias("pair"), "cnt")
+    ends = F.zip_with(F.expr("slice(w, 1, size(w) - 1)"), F.expr("slice(w, 2, size(w))"), lambda a, b: F.concat(F.right(a, F.lit(1)), F.left(b, F.lit(1))))
+    across = words.where("size(w) > 1").select(F.explode(ends).alias("pair")).groupBy("pair").agg(F.count("*").alias("cnt"))
+    return _probabilities(inside.unionByName(across))
 
 
 def marked_lines(lines: DataFrame, group: str, order: str, line: str, opening: str, closing: str) -> DataFrame:
@@ -69,13 +92,15 @@ def marked_lines(lines: DataFrame, group: str, order: str, line: str, opening: s
     return both.where("opened IS NOT NULL AND (closed IS NULL OR opened > closed)").drop("opened", "closed")
 
 
-def prefix_search(lexicon: DataFrame, prefixes: DataFrame, key_chars: int) -> DataFrame:
-    """``(prefix, word)`` of lexicon words that start with a prefix of ``key_chars`` or more characters.
+def prefix_search(lexicon: DataFrame, prefixes: DataFrame, key_chars: int = 3) -> DataFrame:
+    """``(prefix, word)`` of lexicon words that start with a prefix, of any length; the empty prefix finds all words.
 
-    The first characters are an equi key, so the search is a hash or merge join instead of a nested loop.
+    The prefix's first characters, ``key_chars`` at most, are an equi key, and a word is looked up under each such length, so
+    the search is a hash or merge join instead of a nested loop.
     """
-    left = prefixes.where(F.length("prefix") >= key_chars).select("prefix", F.substring("prefix", 1, key_chars).alias("key"))
-    right = lexicon.select("word", F.substring("word", 1, key_chars).alias("key"))
+    left = prefixes.select("prefix", F.substring("prefix", 1, key_chars).alias("key"))
+    keys = F.array_distinct(F.array(*(F.substring("word", 1, n) for n in range(key_chars + 1))))
+    right = lexicon.select("word", F.explode(keys).alias("key"))
     return left.join(right, "key").where(F.startswith("word", "prefix")).select("prefix", "word")
 
 

@@ -33,12 +33,12 @@ def frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lattice(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Candidates (word, pos, ord, prev, label, conf) of benchmark words of 2 to 6 characters, and the bigrams.
+    """Candidates (word, pos, ord, prev, label, conf) of the benchmark's words, and the bigrams.
 
     A position has its true character (.5), and the three likeliest successors of the character before (.5 in all).
     """
     bigrams = C.bigrams_within_words(doc_tokens(spark, sf_dir)).select("prev", "next", "p")
-    words = benchmark_words(spark, sf_dir).where(F.length("word").between(2, 6))
+    words = benchmark_words(spark, sf_dir)
     places = words.select("word", F.posexplode(F.split("word", "")).alias("pos", "label")).where("label <> ''")
     places = places.withColumn("prev", F.expr("IF(pos = 0, NULL, substring(word, pos, 1))"))
     true = places.select("word", "pos", F.lit(0).alias("ord"), "prev", "label", F.lit(0.5).alias("conf"))
@@ -62,7 +62,7 @@ def char_bigram_cross_word(spark, sf_dir):
 
 
 def capped_vocabulary(spark, sf_dir):
-    return C.capped_vocabulary(doc_tokens(spark, sf_dir), CONFIG.lexicon_cap)
+    return C.capped_vocabulary(doc_tokens(spark, sf_dir), CONFIG.lexicon_cap).select("word", F.col("first_place.id").alias("first_doc"), F.col("first_place.pos").alias("first_pos"))
 
 
 def markup_stream_tokens(spark, sf_dir):
@@ -73,7 +73,7 @@ def markup_stream_tokens(spark, sf_dir):
 
 
 def lexicon_prefix_search(spark, sf_dir):
-    return C.prefix_search(doc_tokens(spark, sf_dir).select("word").distinct(), benchmark_words(spark, sf_dir).withColumnRenamed("word", "prefix"), 3)
+    return C.prefix_search(doc_tokens(spark, sf_dir).select("word").distinct(), benchmark_words(spark, sf_dir).withColumnRenamed("word", "prefix"))
 
 
 def lexicon_membership(spark, sf_dir):
@@ -110,13 +110,17 @@ def non_script_rate(spark, sf_dir):
 
 
 def edit_distance_pairs(spark, sf_dir):
-    # the SQL engine's distance is over bytes, so both sides compare texts of one-byte characters
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", "[^ -~]", "?").alias("text"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
     after = items.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("other"))
     pair = items.join(after, "item_id")
     return pair.select("item_id", F.levenshtein("text", "other").cast("long").alias("distance"), F.round(X.relative_change(F.col("text"), F.col("other")), 6).alias("change"))
 
 
+#: The SQL engine's distance counts bytes, so letters beyond ASCII become single bytes that no text holds.
+_ONE_BYTE = dict(zip("äöüßéèêëçàâîôûùñíóúáÄÖÜÉÈÊÇÑ", (c for c in range(1, 32) if c not in (9, 10, 13)), strict=True))
+_AS_BYTES = f"translate(text, '{''.join(_ONE_BYTE)}', {' || '.join(f'chr({c})' for c in _ONE_BYTE.values())})"
+
+
 QUERIES = {f.__name__: f for f in (word_freq_topn, char_bigram_within_word, char_bigram_cross_word, capped_vocabulary, markup_stream_tokens, lexicon_prefix_search, lexicon_membership, word_rescore, bigram_sequence_score, rescore_candidates, strip_marks_nfc, non_script_rate, edit_distance_pairs)}
 
 TOKENS = f"""tok AS (SELECT word, (doc_id << 32) + pos - 1 AS place FROM (
@@ -127,7 +131,7 @@ BIGRAM = """pr AS (SELECT substring(word, i, 1) AS prev, substring(word, i + 1,
     FROM (SELECT word, cnt, unnest(range(1, length(word))) AS i FROM freq WHERE length(word) >= 2)),
 bg AS (SELECT prev, next, CAST(sum(cnt) AS BIGINT) AS cnt, sum(cnt) / sum(sum(cnt)) OVER (PARTITION BY prev) AS p FROM pr GROUP BY prev, next)"""
 LATTICE = """pl AS (SELECT word, i - 1 AS pos, substring(word, i, 1) AS label, CASE WHEN i > 1 THEN substring(word, i - 1, 1) END AS prev
-    FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM bw WHERE length(word) BETWEEN 2 AND 6)),
+    FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM bw)),
 best AS (SELECT *, 0.5 * p / sum(p) OVER (PARTITION BY prev) AS share FROM (
     SELECT prev, next, p, row_number() OVER (PARTITION BY prev ORDER BY p DESC, next) AS ord FROM bg) WHERE ord <= 3),
 lat AS (SELECT word, pos, 0 AS ord, prev, label, 0.5::DOUBLE AS conf FROM pl
@@ -138,13 +142,14 @@ SQL = {
     "char_bigram_cross_word": f"""WITH k AS (SELECT regexp_replace(text, '[^{LATIN}]', '', 'g') AS s FROM documents WHERE text IS NOT NULL),
 pr AS (SELECT substring(s, i, 1) AS prev, substring(s, i + 1, 1) AS next FROM (SELECT s, unnest(range(1, length(s))) AS i FROM k))
 SELECT prev, next, count(*) AS cnt, round(count(*) / sum(count(*)) OVER (PARTITION BY prev), 6) AS p FROM pr GROUP BY prev, next""",
-    "capped_vocabulary": f"WITH {TOKENS} SELECT word, min(place) AS first_place FROM tok WHERE length(word) >= 2 GROUP BY word ORDER BY first_place LIMIT {CONFIG.lexicon_cap}",
+    "capped_vocabulary": f"""WITH {TOKENS} SELECT word, CAST(p >> 32 AS BIGINT) AS first_doc, CAST(p & 4294967295 AS INTEGER) AS first_pos
+FROM (SELECT word, min(place) AS p FROM tok WHERE length(word) >= 2 GROUP BY word ORDER BY p LIMIT {CONFIG.lexicon_cap})""",
     "markup_stream_tokens": rf"""WITH l AS (SELECT page_id, unnest(s) AS line, generate_subscripts(s, 1) AS n FROM (SELECT page_id, string_split(replace(html, '<', chr(1) || '<'), chr(1)) AS s FROM pages)),
 f AS (SELECT *, max(CASE WHEN contains(line, '<body') THEN n END) OVER (PARTITION BY page_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS o,
     max(CASE WHEN contains(line, '</body>') THEN n END) OVER (PARTITION BY page_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS c FROM l)
 SELECT page_id, count(*) AS n_lines, CAST(sum(len(regexp_extract_all(line, '[{LATIN}]+'))) AS BIGINT) AS n_tokens FROM f
 WHERE o IS NOT NULL AND (c IS NULL OR o > c) AND NOT regexp_matches(line, '{SKIP}') GROUP BY page_id""",
-    "lexicon_prefix_search": f"WITH {TOKENS}, {FREQ}, {BENCH} SELECT bw.word AS prefix, freq.word FROM bw JOIN freq ON starts_with(freq.word, bw.word) WHERE length(bw.word) >= 3",
+    "lexicon_prefix_search": f"WITH {TOKENS}, {FREQ}, {BENCH} SELECT bw.word AS prefix, freq.word FROM bw JOIN freq ON starts_with(freq.word, bw.word)",
     "lexicon_membership": f"WITH {TOKENS}, {FREQ}, {BENCH} SELECT word, word IN (SELECT word FROM freq WHERE cnt >= {LEXICON_COUNT}) AS in_lexicon FROM bw",
     "word_rescore": f"""WITH {TOKENS}, {FREQ}, {BENCH} SELECT bw.word, coalesce(cnt, 0) AS f,
 round(0.5 + CASE WHEN coalesce(cnt, 0) >= {LEXICON_COUNT} THEN 0.25 ELSE 0 END + 15 * ln(coalesce(cnt, 0) + 1) / ln((SELECT max(cnt) FROM freq) + 1), 6) AS score
@@ -160,6 +165,6 @@ FROM lat LEFT JOIN bg ON lat.prev = bg.prev AND label = next""",
 SELECT doc_id, nfc_normalize(regexp_replace(text || chr(101) || chr(769) || ' ' || chr(1604) || chr(1611) || chr(1575), '[\x{064b}-\x{065f}]', '', 'g')) AS c FROM documents)""",
     "non_script_rate": rf"""SELECT source, n_other, n_all, round(n_other / n_all, 6) AS rate FROM (
 SELECT source, CAST(sum(length(regexp_replace(text, '[{LATIN}\s]', '', 'g'))) AS BIGINT) AS n_other, CAST(sum(length(text)) AS BIGINT) AS n_all FROM documents GROUP BY source)""",
-    "edit_distance_pairs": """WITH b AS (SELECT item_id, regexp_replace(text, '[^ -~]', '?', 'g') AS text FROM benchmark) SELECT a.item_id, levenshtein(a.text, b.text) AS distance, round(levenshtein(a.text, b.text) / greatest(1, length(a.text), length(b.text)), 6) AS change
+    "edit_distance_pairs": f"""WITH b AS (SELECT item_id, {_AS_BYTES} AS text FROM benchmark) SELECT a.item_id, levenshtein(a.text, b.text) AS distance, round(levenshtein(a.text, b.text) / greatest(1, length(a.text), length(b.text)), 6) AS change
 FROM b AS a JOIN b ON b.item_id = a.item_id + 1""",
 }

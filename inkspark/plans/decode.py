@@ -11,7 +11,7 @@ from . import corpus
 from .corpus import BENCH, BIGRAM, FREQ, LATTICE, TOKENS, table
 
 CONFIG = Config(script=LATIN)
-WIDTH = 5
+WIDTH = CONFIG.beam_width
 
 
 def _decoded(spark, sf_dir, width):
@@ -38,7 +38,7 @@ def word_bonus(spark, sf_dir) -> dict[str, float]:
 
 
 def paw_word_dp(spark, sf_dir):
-    """Benchmark items as lines: their words of 2 to 6 characters as pieces, decoded and grouped."""
+    """Benchmark items as lines: their words as pieces, decoded and grouped."""
     rows, bigrams = corpus.lattice(spark, sf_dir)
     pieces = D.lattices(rows, "word")
     words = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.regexp_extract_all("text", F.lit(f"[{CONFIG.script}]+"), F.lit(0))).alias("pos", "word"))
@@ -53,10 +53,11 @@ _MERGED = f"""WITH RECURSIVE {TOKENS}, {FREQ}, {BIGRAM}, {BENCH}, {LATTICE},
 mg AS (SELECT word, pos, label, ord, conf / sum(conf) OVER (PARTITION BY word, pos) AS p FROM (SELECT word, pos, label, sum(conf) AS conf, min(ord) AS ord FROM lat GROUP BY ALL)),
 cd AS (SELECT *, row_number() OVER (PARTITION BY word, pos ORDER BY p DESC, ord) AS k FROM mg)"""
 SQL = {
-    "viterbi_decode": f"""{_MERGED}, pa AS (SELECT word, pos, label AS last, label AS path, ln(greatest(p, 1e-9)) AS score FROM cd WHERE pos = 0
-    UNION ALL SELECT pa.word, cd.pos, label, path || label, score + (ln(greatest(cd.p, 1e-9)) + 0.3 * ln(coalesce(bg.p, 1e-6)))
-    FROM pa JOIN cd ON cd.word = pa.word AND cd.pos = pa.pos + 1 LEFT JOIN bg ON prev = last AND next = label)
-SELECT word, path, round(score, 6) AS score FROM pa WHERE pos = length(word) - 1 QUALIFY row_number() OVER (PARTITION BY word ORDER BY score DESC, path) = 1""",
+    "viterbi_decode": f"""{_MERGED}, pa AS (SELECT word, pos, label AS last, label AS path, ln(greatest(p, 1e-9)) AS score, k AS rn FROM cd WHERE pos = 0
+    UNION ALL SELECT word, pos, label, path, score, k FROM (SELECT *, row_number() OVER (PARTITION BY word, label ORDER BY score DESC, brn) AS rn FROM (
+        SELECT pa.word, cd.pos, label, path || label AS path, score + (ln(greatest(cd.p, 1e-9)) + 0.3 * ln(coalesce(bg.p, 1e-6))) AS score, pa.rn AS brn, cd.k
+        FROM pa JOIN cd ON cd.word = pa.word AND cd.pos = pa.pos + 1 LEFT JOIN bg ON prev = last AND next = label)) WHERE rn = 1)
+SELECT word, path, round(score, 6) AS score FROM pa WHERE pos = length(word) - 1 QUALIFY row_number() OVER (PARTITION BY word ORDER BY score DESC, rn) = 1""",
     "beam_decode": f"""{_MERGED}, be AS (SELECT word, pos, label AS last, label AS path, ln(greatest(p, 1e-9)) AS score, k AS rn FROM cd WHERE pos = 0
     UNION ALL SELECT word, pos, label, path, score, rn FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY score DESC, brn, k) AS rn FROM (
         SELECT be.word, cd.pos, label, path || label AS path, score + (ln(greatest(cd.p, 1e-9)) + 0.3 * ln(coalesce(bg.p, 1e-6))) AS score, be.rn AS brn, cd.k

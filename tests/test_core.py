@@ -6,6 +6,8 @@ import numpy as np
 from inkspark.functions import labels
 from inkspark.functions import text as X
 from inkspark.operators import candidates, segment
+from inkspark.operators import corpus as C
+from inkspark.sources import files
 from pyspark.sql import functions as F
 
 
@@ -62,6 +64,31 @@ def test_split_covers_piece():
         assert boxes[0][0] == 0 and boxes[-1][1] == ink.shape[1] and all(a[1] == b[0] for a, b in itertools.pairwise(boxes))
 
 
+def test_places_of_several_partitions(spark, tmp_path):
+    for k, word in enumerate(["gamma", "alpha", "beta"]):
+        (tmp_path / f"{k}.txt").write_text(f"{word} {word} x{word}\n")
+    lines = files.corpus_lines(spark, str(tmp_path))
+    assert lines.select(F.spark_partition_id()).distinct().count() > 1 or lines.rdd.getNumPartitions() > 1
+    toks = C.tokens(lines, "a-z", "doc_id")
+    assert toks.select("place").distinct().count() == 9
+    every = [r.word for r in C.capped_vocabulary(toks, 100).orderBy("first_place").collect()]
+    assert len(every) == 6 and [r.word for r in C.capped_vocabulary(toks, 3).orderBy("first_place").collect()] == every[:3]
+    assert [r.word for r in C.word_frequency_top(toks, 2).collect()] == [w for w in every if not w.startswith("x")][:2]
+
+
+def test_prefixes_of_any_length(spark):
+    words = spark.createDataFrame([("a",), ("ab",), ("abcd",), ("abce",), ("b",)], "word string")
+    prefixes = spark.createDataFrame([("",), ("a",), ("ab",), ("abc",), ("abcd",), ("abcde",)], "prefix string")
+    got = {(r.prefix, r.word) for r in C.prefix_search(words, prefixes).collect()}
+    assert got == {(p, w) for (p,) in prefixes.collect() for (w,) in words.collect() if w.startswith(p)}
+
+
+def test_bigrams_across_words(spark):
+    docs = spark.createDataFrame([(1, "ab c, de"), (2, None), (3, ""), (4, "x"), (5, "b-c")], "doc_id long, text string")
+    got = {(r.prev, r.next): r.cnt for r in C.bigrams_across_words(docs, "a-z").collect()}
+    assert got == {("a", "b"): 1, ("b", "c"): 2, ("c", "d"): 1, ("d", "e"): 1}
+
+
 def test_empty_tables(spark):
     runs = spark.createDataFrame([], "page long, y int, x1 int, x2 int")
     assert segment.row_projection(runs).count() == 0
