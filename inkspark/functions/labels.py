@@ -56,8 +56,12 @@ BODIES = """
 ba 0 1 ب|ba 2 0 ت|ba 3 0 ث|nun 1 0 ن|ya 0 2 ي|haa 0 0 ح|haa 0 1 ج|haa 1 0 خ|dal 0 0 د|dal 1 0 ذ|ra 0 0 ر|ra 1 0 ز|sin 0 0 س|sin 3 0 ش
 sad 0 0 ص|sad 1 0 ض|ta 0 0 ط|ta 1 0 ظ|ayn 0 0 ع|ayn 1 0 غ|fa 1 0 ف|qa 2 0 ق|alef 0 0 ا|lam 0 0 ل|mim 0 0 م|ha 0 0 ه|waw 0 0 و|kaf 0 0 ك
 """
-# Synonymous training labels.
-TRAINING_SYNONYMS = {"Ha_Isolated": "Heh_Isolated", "Alf_Isolated": "Alef_Isolated", "Yeh_End": "Yaa_End"}
+# Training labels of equal glyphs.
+TRAINING_SYNONYMS = {
+    "Ta_Marbuta_Isolated": "Teh_Marbuta_Isolated",
+    "Ta_Marbuta_End": "Teh_Marbuta_End",
+    "Alef_Hamza_Isolated": "Alef_Hamza_Above_Isolated",
+}
 
 
 def _rows(text: str) -> list[list[str]]:

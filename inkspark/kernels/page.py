@@ -30,12 +30,50 @@ def resized(image: np.ndarray, height: int, width: int) -> np.ndarray:
     return np.rint(top * (1 - fy) + low * fy).astype(np.uint8)
 
 
+def shrunk(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Mean of the source area under each target pixel, edges weighted by their share."""
+    out = image.astype(float)
+    for axis, n in ((0, height), (1, width)):
+        size = out.shape[axis]
+        total = np.concatenate([np.zeros_like(out.take([0], axis)), out.cumsum(axis)], axis)
+        at = np.arange(n + 1) * size / n
+        low = np.minimum(at.astype(int), size - 1)
+        share = (at - low).reshape(-1, 1) if axis == 0 else at - low
+        out = np.diff(total.take(low, axis) + share * (total.take(low + 1, axis) - total.take(low, axis)), axis=axis) * n / size
+    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+
+
+def _cubic(n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Source places (n, 4) and weights of cubic resampling at pixel centres, sharpness -.75."""
+    at = (np.arange(n) + 0.5) * size / n - 0.5
+    base = np.floor(at).astype(int)
+    t, a = at - base, -0.75
+    far = lambda d: a * (d**3 - 5 * d**2 + 8 * d - 4)
+    near = lambda d: (a + 2) * d**3 - (a + 3) * d**2 + 1
+    weight = np.stack([far(1 + t), near(t), near(1 - t), far(2 - t)], axis=1)
+    return np.clip(base[:, None] + np.arange(-1, 3), 0, size - 1), weight
+
+
+def enlarged(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Cubic resampling of a gray image."""
+    y, wy = _cubic(height, image.shape[0])
+    x, wx = _cubic(width, image.shape[1])
+    rows = (image.astype(float)[y] * wy[..., None]).sum(1)
+    return np.clip(np.rint((rows[:, x] * wx).sum(2)), 0, 255).astype(np.uint8)
+
+
 def bounded(image: np.ndarray, side: int) -> np.ndarray:
     """The image, shrunk so that no side is longer than ``side``."""
     h, w = image.shape
     if max(h, w) <= side:
         return image
-    return resized(image, max(1, int(h * side / max(h, w))), max(1, int(w * side / max(h, w))))
+    return shrunk(image, *(max(1, round(n * side / max(h, w))) for n in (h, w)))
+
+
+def upscaled(image: np.ndarray, least: int = 300) -> np.ndarray:
+    """The image, enlarged to ``least`` rows if it has fewer."""
+    h, w = image.shape
+    return image if h >= least else enlarged(image, least, max(1, int(w * (least / h))))
 
 
 def blurred(image: np.ndarray) -> np.ndarray:
@@ -54,14 +92,19 @@ def otsu(image: np.ndarray) -> int:
     return int(between.argmax())
 
 
-def sauvola(image: np.ndarray, k: float) -> np.ndarray:
-    """True where a pixel is under the local threshold; the window follows the page's size."""
+def local_statistics(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of the window around each pixel; its size follows the page's, and it is mirrored at the border."""
     size = max(11, min(25, min(image.shape) // 8)) | 1
     r = size // 2
-    p = np.pad(image.astype(float), r, mode="edge")
+    p = np.pad(image.astype(float), r, mode="reflect" if min(image.shape) > r else "symmetric")
     area = lambda a: (lambda c: c[size:, size:] - c[:-size, size:] - c[size:, :-size] + c[:-size, :-size])(np.pad(a.cumsum(0).cumsum(1), ((1, 0), (1, 0))))
     mean = area(p) / size**2
-    deviation = np.sqrt(np.maximum(0, area(p * p) / size**2 - mean**2))
+    return mean, np.sqrt(np.maximum(0, area(p * p) / size**2 - mean**2))
+
+
+def sauvola(image: np.ndarray, k: float, statistics: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """True where a pixel is under the local threshold."""
+    mean, deviation = statistics or local_statistics(image)
     return image < mean * (1 + k * (deviation / 127.5 - 1))
 
 
@@ -70,12 +113,32 @@ def _square(image: np.ndarray, pick) -> np.ndarray:
     return pick(pick(p[1:, 1:], p[:-1, 1:]), pick(p[1:, :-1], p[:-1, :-1]))
 
 
+# Sensitivities of the local threshold, tried in this order.
+SENSITIVITIES = (0.24, 0.32, 0.40, 0.48)
+
+
+def local_mask(image: np.ndarray) -> np.ndarray:
+    """The local threshold's mask, 255 under it, of the first sensitivity that leaves a tenth or less outside, else the last."""
+    statistics = local_statistics(image)
+    for k in SENSITIVITIES:
+        out = np.where(sauvola(image, k, statistics), 255, 0).astype(np.uint8)
+        if (out == 0).mean() <= 0.10:
+            break
+    return out
+
+
 def binarized(image: np.ndarray) -> np.ndarray:
-    """Ink 0 and paper 255: Otsu's level on the blurred page, turned round if over half is ink, then ink thickened."""
+    """Ink 0 and paper 255, ink thickened.
+
+    The local mask stands where half of it or more is 255, as on very dark pages; on ordinary ones Otsu's level on the
+    blurred page decides, turned round if over half is ink.
+    """
     soft = blurred(image)
-    out = np.where(soft > otsu(soft), 255, 0).astype(np.uint8)
+    out = local_mask(soft)
     if (out == 0).mean() > 0.5:
-        out = 255 - out
+        out = np.where(soft > otsu(soft), 255, 0).astype(np.uint8)
+        if (out == 0).mean() > 0.5:
+            out = 255 - out
     opened = _square(_square(out, np.minimum)[::-1, ::-1], np.maximum)[::-1, ::-1]
     return _square(opened, np.minimum)
 
@@ -150,11 +213,51 @@ def skew(page: np.ndarray) -> float | None:
     return 0.0 if power[best] < 1.05 * power[30] else float(angles[best])
 
 
+def hull(points: np.ndarray) -> np.ndarray:
+    """Corners of the convex hull of (x, y) points, in order."""
+    rows = np.unique(points, axis=0)
+    if len(rows) < 3:
+        return rows
+    chains = []
+    for part in (rows, rows[::-1]):
+        chain: list[np.ndarray] = []
+        for p in part:
+            while len(chain) > 1 and (u := chain[-1] - chain[-2])[0] * (v := p - chain[-2])[1] - u[1] * v[0] <= 0:
+                chain.pop()
+            chain.append(p)
+        chains.append(chain[:-1])
+    return np.array(chains[0] + chains[1])
+
+
+def box_angle(page: np.ndarray, most: float = 45.0) -> float | None:
+    """Angle, over 0 to 90 degrees, of the smallest rectangle around the ink; None beyond ``most`` or under 10 pixels."""
+    y, x = np.nonzero(page == 0)
+    if len(y) < 10:
+        return None
+    corners = hull(np.stack([x, y], axis=1).astype(float))
+    if len(corners) < 3:
+        return None
+    best = (math.inf, 90.0)
+    for u, v in np.roll(corners, -1, axis=0) - corners:
+        turn = math.degrees(math.atan2(v, u)) % 90 or 90.0
+        c, s = math.cos(math.radians(turn)), math.sin(math.radians(turn))
+        along, across = corners @ np.array([c, s]), corners @ np.array([-s, c])
+        best = min(best, (round(float(np.ptp(along) * np.ptp(across)), 6), turn))
+    return best[1] if best[1] <= most else None
+
+
+def straight(page: np.ndarray) -> tuple[np.ndarray, float]:
+    """The page turned upright and the angle: by its row profile, by its smallest rectangle where too sparse, else as it is."""
+    angle = skew(page)
+    if angle is None:
+        y, x = max(1, int(page.shape[0] * 0.02)), max(1, int(page.shape[1] * 0.02))
+        angle = box_angle(page[y : page.shape[0] - y, x : page.shape[1] - x]) or 0.0
+    return (rotated(page, angle) if angle else page.copy()), angle
+
+
 def preprocessed(image: np.ndarray, side: int = 2000) -> tuple[np.ndarray, float]:
-    """A page ready for segmentation and the angle it was turned by: bounded, gray, binary, clean, straight, padded."""
-    page = without_noise(binarized(bounded(gray(image), side)))
-    angle = skew(page) or 0.0
-    page = rotated(page, angle) if angle else page
+    """A page ready for segmentation and the angle it was turned by: bounded, upscaled, gray, binary, clean, straight, padded."""
+    page, angle = straight(without_noise(binarized(upscaled(bounded(gray(image), side)))))
     y, x = int(page.shape[0] * 0.05), int(page.shape[1] * 0.05)
     return np.pad(page, ((y, y), (x, x)), constant_values=255), angle
 
@@ -177,7 +280,7 @@ def normalized(glyph: np.ndarray, side: int = 32, fit: int = 28) -> np.ndarray:
     scale = fit / max(part.shape)
     h, w = (max(1, int(n * scale)) for n in part.shape)
     top, left = (side - h) // 2, (side - w) // 2
-    out[top : top + h, left : left + w] = resized(part, h, w)
+    out[top : top + h, left : left + w] = (shrunk if scale < 1 else resized)(part, h, w)
     return out
 
 
@@ -237,3 +340,14 @@ def _border(mask: np.ndarray) -> list[tuple[int, int]]:
         here, came = there, (turn + 5) % 8
         out.append(here)
     return [(y - 1, x - 1) for y, x in out[:-1]] if len(out) > 1 else [(start[0] - 1, start[1] - 1)]
+
+
+def grid(image: np.ndarray, cell: int = 4) -> np.ndarray:
+    """Share of ink in each cell of a normalised glyph."""
+    n = image.shape[0] // cell
+    return (image == 0).reshape(n, cell, n, cell).mean(axis=(1, 3)).ravel()
+
+
+def zernike(image: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """Moment magnitudes of a normalised glyph's dark pixels; ``basis`` has a complex row per moment, scaled by its order."""
+    return np.abs(basis[:, (image < 128).ravel()].sum(axis=1))

@@ -55,15 +55,22 @@ def viterbi(lattice: Lattice, bigrams: Bigrams, miss: float) -> tuple[str, float
     return best[2], best[0]
 
 
+def transitions(bigrams: Bigrams, miss: float) -> tuple[Bigrams, float]:
+    """Weighted logarithms of the bigrams, and of a pair that is none; taken once for many steps."""
+    return {pair: CONTEXT * math.log(p) for pair, p in bigrams.items()}, CONTEXT * math.log(miss)
+
+
 def beams(lattice: Lattice, bigrams: Bigrams, miss: float, width: int) -> list[tuple[float, str]]:
     """The ``width`` best (score, path) after each position, equal scores in order of extension."""
-    return [(s, path) for s, path, _ in extended(START, lattice, bigrams, miss, width)]
+    return [(s, path) for s, path, _ in extended(START, lattice, *transitions(bigrams, miss), width)]
 
 
-def extended(out: list[Beam], lattice: Lattice, bigrams: Bigrams, miss: float, width: int) -> list[Beam]:
+def extended(out: list[Beam], lattice: Lattice, logs: Bigrams, low: float, width: int) -> list[Beam]:
     """Beams (score, path, last label) after further positions."""
+    get = logs.get
     for column in lattice:
-        grown = [(s + step(last, label, p, bigrams, miss), path + label, label) for s, path, last in out for label, p in column]
+        own = [(label, math.log(max(p, FLOOR))) for label, p in column]
+        grown = [(s + (o if last is None else o + get((last, label), low)), path + label, label) for s, path, last in out for label, o in own]
         out = sorted(grown, key=lambda x: -x[0])[:width]
     return out
 
@@ -75,10 +82,11 @@ def words_of_pieces(pieces: list[Lattice], bigrams: Bigrams, miss: float, width:
     characters are dropped, empty words too; equal totals keep the longer last word.
     """
     best: list[tuple[float, list[str]]] = [(0.0, [])] + [(-math.inf, [])] * len(pieces)
+    logs, low = transitions(bigrams, miss)
     for j in range(len(pieces)):
         state = START  # the beams of a span go on from those of the span without its last piece
         for i in range(j + 1, min(j + span, len(pieces)) + 1):
-            state = extended(state, pieces[i - 1], bigrams, miss, width)
+            state = extended(state, pieces[i - 1], logs, low, width)
             found = [(s + bonus(w := path.replace("_", "")), w) for s, path, _ in state]
             score, word = max(found, key=lambda x: x[0])
             total = best[j][0] + score + (penalty if j else 0.0)

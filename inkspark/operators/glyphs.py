@@ -92,7 +92,7 @@ def zernike_basis(size: int, degree: int = 8) -> list[tuple[int, int, int, int,
     out = []
     for y in range(size):
         for x in range(size):
-            u, v = (2 * x - size + 1) / (size - 1), (2 * y - size + 1) / (size - 1)
+            u, v = (x - size / 2) / (size / 2), (y - size / 2) / (size / 2)
             rho, phi = math.hypot(u, v), math.atan2(v, u)
             if rho > 1:
                 continue
@@ -105,11 +105,11 @@ def zernike_basis(size: int, degree: int = 8) -> list[tuple[int, int, int, int,
 
 
 def zernike(ink: DataFrame, size: int, degree: int = 8) -> DataFrame:
-    """(glyph, n, m, magnitude): moments of the inked pixels, scaled by (n + 1) / pi and their number."""
+    """(glyph, n, m, magnitude): moments of the inked pixels, scaled by (n + 1) / pi."""
     spark = ink.sparkSession
     basis = spark.createDataFrame(zernike_basis(size, degree), "n int, m int, y int, x int, re double, im double")
-    sums = ink.join(F.broadcast(basis), ["y", "x"]).groupBy("glyph", "n", "m").agg(F.sum("re").alias("re"), F.sum("im").alias("im"), F.count("*").alias("area"))
-    return sums.select("glyph", "n", "m", ((F.col("n") + 1) / math.pi * F.hypot("re", "im") / F.col("area")).alias("magnitude"))
+    sums = ink.join(F.broadcast(basis), ["y", "x"]).groupBy("glyph", "n", "m").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+    return sums.select("glyph", "n", "m", ((F.col("n") + 1) / math.pi * F.hypot("re", "im")).alias("magnitude"))
 
 
 def skew(ink: DataFrame, shears: list[int]) -> DataFrame:

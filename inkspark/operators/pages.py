@@ -32,22 +32,6 @@ def page_runs(pages: DataFrame, side: int = 2000) -> DataFrame:
     return pages.mapInPandas(run, "page string, page_height int, page_width int, angle double, y int, x1 int, x2 int")
 
 
-def glyph_features(glyphs: DataFrame, keys: list[str]) -> DataFrame:
-    """keys with ``features``: 64 grid densities, 1,764 direction weights and 192 contour values of each glyph image."""
-    schema = ", ".join(f"{k} {dict(glyphs.dtypes)[k]}" for k in keys) + ", features array<float>"
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for row in frame.itertuples(index=False):
-                glyph = K.normalized(K.gray(_image(row)))
-                grid = (glyph == 0).reshape(8, 4, 8, 4).mean(axis=(1, 3)).ravel()
-                out.append(np.concatenate([grid, K.hog(glyph), K.contour(glyph)]).astype(np.float32))
-            yield frame[keys].assign(features=out)
-
-    return glyphs.mapInPandas(run, schema)
-
-
 def region(boxes: DataFrame, padding: int = 2) -> DataFrame:
     """Boxes (x1, y1, x2, y2) grown by ``padding`` within the page (page_width, page_height)."""
     return boxes.withColumns({

@@ -2,10 +2,13 @@ import numpy as np
 import pytest
 from inkspark.kernels import page as K
 from inkspark.kernels import png
+from inkspark.kernels import segment as G
 from inkspark.operators import decode as D
 from inkspark.operators import models as M
 from inkspark.operators import pages as P
+from inkspark.operators import recognise as R
 from inkspark.operators import segment as S
+from inkspark.plans import recognise
 from inkspark.sources import files
 from inkspark.streaming import corpus as stream
 from pyspark.sql import functions as F
@@ -34,7 +37,7 @@ def test_binarize_and_skew():
     turned = K.rotated(page, 4.0)
     assert abs(abs(K.skew(turned)) - 4.0) <= 0.5
     clean, angle = K.preprocessed(np.repeat(page[..., None], 3, axis=2))
-    assert clean.shape == (220, 440) and angle == 0.0
+    assert clean.shape == (330, 660) and angle == 0.0
 
 
 def test_otsu_splits_two_levels():
@@ -42,6 +45,91 @@ def test_otsu_splits_two_levels():
     assert 40 <= K.otsu(image) < 200
 
 
+def test_binarize_keeps_a_dark_local_mask_and_else_takes_the_level():
+    noisy = np.random.default_rng(0).integers(0, 256, (120, 120)).astype(np.uint8)
+    assert set(np.unique(K.binarized(noisy))) <= {0, 255}
+    page = np.full((120, 120), 200, np.uint8)
+    page[40:60, 20:100] = 30
+    assert (K.local_mask(page) == 0).mean() > 0.5 and (K.binarized(page)[45:55, 30:90] == 0).all()
+    brute = lambda y, x: (lambda w: w.mean() * (1 + 0.24 * (w.std() / 127.5 - 1)))(np.pad(noisy.astype(float), 7, mode="reflect")[y : y + 15, x : x + 15])
+    assert all(K.sauvola(noisy, 0.24)[y, x] == (noisy[y, x] < brute(y, x)) for y in (0, 5, 60, 119) for x in (0, 33, 119))
+
+
+def test_resampling():
+    image = np.arange(48, dtype=np.uint8).reshape(6, 8)
+    assert K.shrunk(image, 3, 4).tolist() == np.rint(image.reshape(3, 2, 4, 2).mean(axis=(1, 3))).astype(int).tolist()
+    assert K.bounded(np.full((100, 4001), 9, np.uint8), 2000).shape == (50, 2000)
+    assert K.upscaled(np.full((100, 50), 7, np.uint8)).shape == (300, 150) and (K.upscaled(np.full((100, 50), 7, np.uint8)) == 7).all()
+    assert K.upscaled(np.zeros((400, 10), np.uint8)).shape == (400, 10)
+    flat = np.tile(np.linspace(0, 250, 100).astype(np.uint8), (100, 1))
+    assert abs(K.enlarged(flat, 300, 300).astype(int) - K.resized(flat, 300, 300).astype(int)).max() <= 3
+
+
+def test_box_angle():
+    page = np.full((60, 60), 255, np.uint8)
+    for k in range(30):
+        page[10 + k // 3, 10 + k] = 0
+    assert abs(K.box_angle(page) - 18.4) < 2.5
+    assert K.box_angle(np.full((60, 60), 255, np.uint8)) is None
+    bar = np.full((60, 60), 255, np.uint8)
+    bar[20:22, 10:30] = 0
+    assert K.box_angle(bar) is None and (K.straight(bar)[0] == bar).all() and K.straight(bar)[1] == 0.0
+    assert K.straight(page)[1] == K.box_angle(page)  # too sparse for a row profile
+
+
+def test_page_segmentation_kernel():
+    ink = two_lines() == 0
+    assert [(a, b) for a, b in G.lines(ink)] and len(G.lines(ink)) == 2
+    assert G.paws(np.ones((30, 120), bool), 20.0) == [(0, 120)] and G.lines(np.zeros((50, 50), bool)) == []
+    piece = np.zeros((60, 120), bool)
+    piece[20:50, 10:110] = piece[10:13, 30:33] = True
+    body, dots = G.separate_dots(piece, 20.0)
+    assert [(d.size, d.position) for d in dots] == [(1, "above")] and not body[10:13].any() and body[20:50, 10:110].all()
+    chars = G.characters(ink)
+    assert [c.line for c in chars] == sorted(c.line for c in chars) and {c.position for c in chars} <= {"isolated", "initial", "medial", "final"}
+    assert [G.tag(k, 3) for k in range(3)] == ["initial", "medial", "final"] and G.tag(0, 1) == "isolated"
+
+
+def test_page_kernel_cuts_as_the_relational_operators(spark):
+    page = recognise.drawn("the quick brown fox jumps over the lazy dog".split())
+    ink = page == 0
+    runs = spark.createDataFrame([(1, *map(int, r)) for r in K.runs(page)], "page long, y int, x1 int, x2 int")
+    heights, widths = spark.createDataFrame([(1, page.shape[0])], "page long, height int"), spark.createDataFrame([(1, page.shape[1])], "page long, width int")
+    ah = G.average_height(G.parts(K.components(ink)))
+    bands = S.merged_bands(S.line_bands(S.smoothed(S.row_projection(runs), heights), ah), ah)
+    assert [(r.y1, r.y2) for r in bands.orderBy("line").collect()] == G.lines(ink)
+    for line, (y1, y2) in enumerate(G.lines(ink)):
+        pieces = S.paws(S.in_bands(runs, bands.where(F.col("line") == line)), widths, ah).orderBy("paw")
+        assert [(r.x1, r.x2) for r in pieces.collect()] == G.paws(ink[y1:y2], ah)
+
+
+def test_recognition_from_image_to_text(spark):
+    words = ["stone", "bridge", "water", "lamp"]
+    letters = sorted(set("".join(words)))
+    pages = recognise.as_pages(spark.createDataFrame([("a", words), ("b", words[:2])], "page_id string, words array<string>"), "page_id")
+    blank = spark.createDataFrame([("c", 200, 300, 1, bytearray(b"\xff" * 60000))], recognise.PAGE)
+    crops = R.characters(pages.union(blank))
+    assert {r.page: r["count"] for r in crops.groupBy("page").count().collect()} == {"a": 20, "b": 11}
+
+    class Oracle:
+        """Tells a character by its place on the page."""
+
+        def top_k(self, rows, keys, k):
+            order = crops.withColumn("n", F.row_number().over(__import__("pyspark").sql.Window.partitionBy("page").orderBy("line", "paw", "char")))
+            return order.select(*keys, F.lit(1).alias("rank"), F.substring(F.lit("".join(words)), F.col("n").cast("int"), F.lit(1)).alias("label"), F.lit(0.9).alias("p")).where("n <> 3")
+
+    labels = spark.createDataFrame([(c, c, c, None, None) for c in letters], "label string, base string, glyph string, exp_above int, exp_below int")
+    bonus = {w: 5.0 * len(w) ** 2 for w in [*words, "stne"]}
+    got = R.recognised(pages.union(blank), Oracle(), {}, bonus, recognise.CONFIG, labels)
+    assert {r.page: r.text.replace("\n", " ") for r in got.collect()} == {"a": "stne bridge water lamp", "b": "stne bridge", "c": ""}
+
+
+def test_drawn_letters_are_told_apart():
+    shapes = [recognise.letter(c) for c in recognise.LETTERS]
+    blocks = [s[:: recognise.BLOCK, :: recognise.BLOCK] for s in shapes]
+    assert all((a != b).any(axis=0).sum() >= 2 for k, a in enumerate(blocks) for b in blocks[:k])
+
+
 def test_glyph_kernels():
     glyph = np.full((20, 15), 255, np.uint8)
     glyph[3:17, 2:13] = 0
@@ -71,7 +159,10 @@ def test_glyph_features(spark):
     image = np.full((20, 15), 255, np.uint8)
     image[3:17, 2:13] = 0
     rows = spark.createDataFrame([(1, 20, 15, 1, bytearray(image.tobytes()))], "k long, height int, width int, channels int, data binary")
-    assert len(P.glyph_features(rows, ["k"]).first().features) == 64 + 1764 + 192
+    got = R.features(rows, ["k"]).first().features
+    assert len(got) == sum(R.PARTS) == 2069 and got[-4:] == [0, 0, 0, 0]
+    dotted = rows.selectExpr("*", "2 AS above", "1 AS below", "1.5D AS spread")
+    assert R.features(dotted, ["k"]).first().features[-4:] == [2, 1, 1, 1.5]
 
 
 def test_statistics_round_trip(spark):
