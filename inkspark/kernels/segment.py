@@ -41,6 +41,7 @@ class Char:
     position: str
     dots: tuple[Dot, ...]
     ink: np.ndarray
+    ah: float
 
 
 @dataclass(frozen=True)
@@ -174,5 +175,5 @@ def characters(ink: np.ndarray) -> list[Char]:
             boxes = S.split_multiscale(body.astype(np.int64), ah)
             for nth, ((a, b), own) in enumerate(zip(boxes, attached(dots, boxes), strict=True)):
                 if b > a:
-                    out.append(Char(line, paw, nth, x1 + a, y1, x1 + b, y2, tag(nth, len(boxes)), tuple(own), piece[:, a:b]))
+                    out.append(Char(line, paw, nth, x1 + a, y1, x1 + b, y2, tag(nth, len(boxes)), tuple(own), piece[:, a:b], ah))
     return out

@@ -92,6 +92,25 @@ def marked_lines(lines: DataFrame, group: str, order: str, line: str, opening: s
     return both.where("opened IS NOT NULL AND (closed IS NULL OR opened > closed)").drop("opened", "closed")
 
 
+def marked_dump(lines: DataFrame, opening: str, closing: str) -> DataFrame:
+    """As marked_lines, of a dump's lines (file, block, n, line), a block at a time.
+
+    A block's own markers are found by running maxima inside it; what stood open before it follows from one small row per
+    block, so that a dump is never one task.
+    """
+    has = lambda mark: F.when(F.contains("line", F.lit(mark)), F.col("n"))
+    blocks = lines.groupBy("file", "block").agg(F.max(has(opening)).alias("o"), F.max(has(closing)).alias("c"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct("block", c))).over(before)
+    carried = blocks.select("file", "block", last("o").alias("lo"), last("c").alias("lc"))
+    open_before = F.col("lo").isNotNull() & (F.col("lc").isNull() | (F.col("lo.block") > F.col("lc.block")) | ((F.col("lo.block") == F.col("lc.block")) & (F.col("lo.o") > F.col("lc.c"))))
+    rows = lines.join(carried.select("file", "block", open_before.alias("was_open")), ["file", "block"])
+    until = Window.partitionBy("file", "block").orderBy("n")
+    rows = rows.withColumn("o", F.max(has(opening)).over(until.rowsBetween(Window.unboundedPreceding, 0))).withColumn("c", F.max(has(closing)).over(until.rowsBetween(Window.unboundedPreceding, -1)))
+    inside = F.when(F.col("o").isNotNull(), F.col("c").isNull() | (F.col("o") > F.col("c"))).otherwise(F.col("was_open") & F.col("c").isNull())
+    return rows.where(inside).drop("was_open", "o", "c")
+
+
 def prefix_search(lexicon: DataFrame, prefixes: DataFrame, key_chars: int = 3) -> DataFrame:
     """``(prefix, word)`` of lexicon words that start with a prefix, of any length; the empty prefix finds all words.
 

@@ -228,8 +228,14 @@ def assigned(clusters: DataFrame, boxes: DataFrame) -> DataFrame:
     return pairs.withColumn("best", best).where("best = 1").join(reach, "glyph").where("d <= reach").select("glyph", "cx", "cy", "size", "position", "char")
 
 
-def dot_features(clusters: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, above, below, has_any, spread): dots above and below, and the deviation of cx of two or more clusters."""
+def dot_features(clusters: DataFrame, keys: list[str], every: DataFrame | None = None) -> DataFrame:
+    """(keys, above, below, has_any, spread): dots above and below, and the deviation of cx of two or more clusters.
+
+    Given ``every`` with the keys of all glyphs, those without dots have zeros; else they have no row.
+    """
     side = lambda p: F.sum(F.when(F.col("position") == p, F.col("size")).otherwise(0)).cast("long")
     spread = F.when(F.count("*") > 1, F.stddev_pop("cx")).otherwise(0.0)
-    return clusters.groupBy(*keys).agg(side("above").alias("above"), side("below").alias("below"), F.lit(1).alias("has_any"), spread.alias("spread"))
+    seen = clusters.groupBy(*keys).agg(side("above").alias("above"), side("below").alias("below"), F.lit(1).alias("has_any"), spread.alias("spread"))
+    if every is None:
+        return seen
+    return every.select(*keys).distinct().join(seen, keys, "left").na.fill(0, ["above", "below", "has_any", "spread"])

@@ -25,7 +25,7 @@ from .models import Classifier
 
 KEYS = ["page", "line", "paw", "char"]
 DOT = "struct<cx: double, cy: double, size: int, position: string>"
-CROP = f"page string, line int, paw int, char int, x1 int, y1 int, x2 int, y2 int, position string, above int, below int, spread double, dots array<{DOT}>, height int, width int, channels int, data binary"
+CROP = f"page string, line int, paw int, char int, x1 int, y1 int, x2 int, y2 int, position string, above int, below int, spread double, ah double, dots array<{DOT}>, height int, width int, channels int, data binary"
 #: Sizes of the parts of a feature vector: grid, directions, contour, moments, dots.
 PARTS = (64, 1764, 192, 45, 4)
 
@@ -46,7 +46,7 @@ def characters(pages: DataFrame, side: int = 2000) -> DataFrame:
                     spread = float(np.std([d.cx for d in c.dots])) if len(c.dots) > 1 else 0.0
                     dots = [{"cx": d.cx, "cy": d.cy, "size": d.size, "position": d.position} for d in c.dots]
                     data = np.where(c.ink, 0, 255).astype(np.uint8).tobytes()
-                    out.append((row.page, c.line, c.paw, c.char, c.x1, c.y1, c.x2, c.y2, c.position, count["above"], count["below"], spread, dots, *c.ink.shape, 1, data))
+                    out.append((row.page, c.line, c.paw, c.char, c.x1, c.y1, c.x2, c.y2, c.position, count["above"], count["below"], spread, c.ah, dots, *c.ink.shape, 1, data))
                 if out:
                     yield pd.DataFrame(out, columns=[x.split()[0] for x in CROP.replace(DOT, "x").split(", ")])
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
@@ -90,21 +90,52 @@ def hyperparameter_grid(spark, sf_dir):
     return best.groupBy("boost", "penalty").agg(F.count("*").alias("n"), F.sum((F.col("best.o") != F.col("before.o")).cast("int")).cast("long").alias("changed"))
 
 
+WEIGHTS_GRID, LEXICON_GRID = [0.0, 0.1, 0.2, 0.3, 0.5], [0.0, 0.25, 0.5]
+
+
+def tune_lm_grid(spark, sf_dir):
+    """Per bigram weight and lexicon bonus: places whose best candidate changes, words read that the lexicon knows, and the
+    order of the settings: fewest changes, then most bonus, then the weight nearest to .3."""
+    rows, bigrams = corpus.lattice(spark, sf_dir)
+    p = bigrams.select("prev", F.col("next").alias("label"), "p")
+    found = E.grid(rows.join(p, ["prev", "label"], "left"), {"weight": WEIGHTS_GRID})
+    score = F.when(F.col("prev").isNull(), F.col("conf")).otherwise((1 - F.col("weight")) * F.col("conf") + F.col("weight") * F.coalesce("p", F.lit(CONFIG.bigram_miss)))
+    best = found.groupBy("word", "pos", "weight").agg(F.max(F.struct(F.round(score, 9).alias("s"), (-F.col("ord")).alias("o"), "label")).alias("b"))
+    read = best.groupBy("word", "weight").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "b.label"))), lambda x: x["label"]), "").alias("read"), F.sum((F.col("b.o") != 0).cast("int")).cast("long").alias("changed"))
+    lexicon = corpus.frequency(spark, sf_dir).where(F.col("cnt") >= corpus.LEXICON_COUNT).select(F.col("word").alias("read"), F.lit(1).alias("known"))
+    sums = read.join(lexicon, "read", "left").groupBy("weight").agg(F.sum("changed").alias("changed"), F.count("known").alias("known"))
+    points = E.grid(sums, {"bonus": LEXICON_GRID}).withColumn("total", F.col("bonus") * F.col("known"))
+    order = F.row_number().over(Window.orderBy("changed", F.desc("total"), F.round(F.abs(F.col("weight") - 0.3), 6), "weight", "bonus"))  # 15 points
+    return points.select("weight", "bonus", "changed", "known", order.alias("rank"))
+
+
 def centroid_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Softmax of minus the distance to each label's mean vector: a fixture-level stand-in for a trained classifier."""
-    rows = table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL")
-    cells = rows.select("vec_id", "label", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
-    means = cells.groupBy("label", "i").agg(F.avg("x").alias("m")).withColumnRenamed("label", "class")
-    far = cells.join(F.broadcast(means), "i").groupBy("vec_id", "label", "class").agg(F.sqrt(F.sum((F.col("x") - F.col("m")) ** 2)).alias("d"))
-    return far.withColumn("p", F.expr("exp(-d) / sum(exp(-d)) OVER (PARTITION BY vec_id)"))
+    """(vec_id, label, scores): softmax of minus the distance to each label's mean vector, a stand-in for a trained classifier.
+
+    Means are one small row a label; vectors meet them as one broadcast array and are never shuffled.
+    """
+    rows = table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
+    means = rows.select("label", F.posexplode("e").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m"))
+    centre = F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"])
+    every = means.groupBy("label").agg(centre.alias("m")).agg(F.array_sort(F.collect_list(F.struct(F.col("label").alias("class"), "m"))).alias("means"))
+    far = lambda c: F.sqrt(F.aggregate(F.zip_with("e", c["m"], lambda x, m: (x - m) * (x - m)), F.lit(0.0), lambda s, d: s + d))
+    scored = rows.crossJoin(F.broadcast(every)).select("vec_id", "label", F.transform("means", lambda c: F.struct(F.exp(-far(c)).alias("w"), c["class"].alias("class"))).alias("ws"))  # one row of means
+    whole = F.aggregate("ws", F.lit(0.0), lambda s, x: s + x["w"])
+    return scored.withColumn("whole", whole).select("vec_id", "label", F.transform("ws", lambda x: F.struct((x["w"] / F.col("whole")).alias("p"), x["class"].alias("class"))).alias("scores"))
+
+
+def best_classes(scores: DataFrame, k: int) -> DataFrame:
+    """(vec_id, label, rank, class, p): the k best classes of each row, found in the row; ties to the higher class."""
+    best = scores.select("vec_id", "label", F.posexplode(F.slice(F.sort_array("scores", asc=False), 1, k)).alias("place", "c"))
+    return best.select("vec_id", "label", (F.col("place") + 1).alias("rank"), "c.class", "c.p")
 
 
 def topk_centroid_classifier(spark, sf_dir):
-    return K.top_k(centroid_scores(spark, sf_dir), ["vec_id"], CONFIG.top_k).select("vec_id", "rank", "class", F.round("p", 6).alias("p"))
+    return best_classes(centroid_scores(spark, sf_dir), CONFIG.top_k).select("vec_id", "rank", "class", F.round("p", 6).alias("p"))
 
 
 def classification_report(spark, sf_dir):
-    best = K.top_k(centroid_scores(spark, sf_dir), ["vec_id"], 1).withColumnRenamed("class", "pred")
+    best = best_classes(centroid_scores(spark, sf_dir), 1).withColumnRenamed("class", "pred")
     return E.classification_report(best).select("class", "support", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
 
 
@@ -112,7 +143,7 @@ def stratified_split(spark, sf_dir):
     return E.stratified_split(table(spark, sf_dir, "embeddings"), "label", "vec_id", 0.15).select("vec_id", "label", "is_test")
 
 
-QUERIES = {f.__name__: f for f in (label_unicode_lookup, merge_candidates, dot_rerank, position_filter_fallback, dot_filter_fallback, filter_rerank_fallback, learned_rerank_fixed_weights, position_tags, body_letters, hyperparameter_grid, topk_centroid_classifier, classification_report, stratified_split)}
+QUERIES = {f.__name__: f for f in (label_unicode_lookup, merge_candidates, dot_rerank, position_filter_fallback, dot_filter_fallback, filter_rerank_fallback, learned_rerank_fixed_weights, position_tags, body_letters, hyperparameter_grid, tune_lm_grid, topk_centroid_classifier, classification_report, stratified_split)}
 
 
 def _values(rows: list[tuple]) -> str:
@@ -164,6 +195,14 @@ g AS (SELECT l.*, boost, penalty, CASE WHEN ea = above AND eb = below THEN conf
     FROM l, (SELECT unnest({BOOSTS}::DOUBLE[]) AS boost), (SELECT unnest({PENALTIES}::DOUBLE[]) AS penalty)),
 r AS (SELECT *, row_number() OVER (PARTITION BY word, pos, boost, penalty ORDER BY s DESC, ord) AS a, row_number() OVER (PARTITION BY word, pos, boost, penalty ORDER BY conf DESC, ord) AS b FROM g)
 SELECT boost, penalty, count(*) FILTER (WHERE a = 1) AS n, count(*) FILTER (WHERE a = 1 AND b <> 1) AS changed FROM r GROUP BY boost, penalty""",
+    "tune_lm_grid": f"""WITH {TOKENS}, {FREQ}, {BIGRAM}, {BENCH}, {LATTICE},
+sc AS (SELECT word, pos, ord, label, weight, round(CASE WHEN lat.prev IS NULL THEN conf ELSE (1 - weight) * conf + weight * coalesce(p, 1e-6) END, 9) AS s
+    FROM lat LEFT JOIN bg ON lat.prev = bg.prev AND label = next, (SELECT unnest({WEIGHTS_GRID}::DOUBLE[]) AS weight)),
+be AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY word, pos, weight ORDER BY s DESC, ord, label DESC) = 1),
+rd AS (SELECT word, weight, string_agg(label, '' ORDER BY pos) AS read, count(*) FILTER (WHERE ord <> 0) AS changed FROM be GROUP BY word, weight),
+su AS (SELECT weight, CAST(sum(changed) AS BIGINT) AS changed, count(*) FILTER (WHERE read IN (SELECT word FROM freq WHERE cnt >= {corpus.LEXICON_COUNT})) AS known FROM rd GROUP BY weight)
+SELECT weight, bonus, changed, known, CAST(row_number() OVER (ORDER BY changed, bonus * known DESC, round(abs(weight - 0.3), 6), weight, bonus) AS INTEGER) AS rank
+FROM su, (SELECT unnest({LEXICON_GRID}::DOUBLE[]) AS bonus)""",
     "topk_centroid_classifier": f"{_CENTROID} SELECT vec_id, rank, class, round(p, 6) AS p FROM rk WHERE rank <= {CONFIG.top_k}",
     "classification_report": f"""{_CENTROID}, b AS (SELECT label, class AS pred FROM rk WHERE rank = 1), k AS (SELECT label AS class FROM b UNION SELECT pred FROM b),
 n AS (SELECT class, (SELECT count(*) FROM b WHERE label = class) AS support, (SELECT count(*) FROM b WHERE pred = class) AS said, (SELECT count(*) FROM b WHERE pred = class AND label = class) AS r FROM k),

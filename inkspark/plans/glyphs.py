@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,7 +74,8 @@ def dot_char_assignment(spark, sf_dir):
 
 
 def dot_feature_vector(spark, sf_dir):
-    return _rounded(G.dot_features(_clusters(spark, sf_dir), ["glyph"]), "spread")
+    every = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("glyph"))
+    return _rounded(G.dot_features(_clusters(spark, sf_dir), ["glyph"], every), "spread")
 
 
 def otsu_threshold(spark, sf_dir):
@@ -129,6 +132,12 @@ cp AS (SELECT glyph, cx, cy, size, CASE WHEN cy < baseline THEN 'above' ELSE 'be
 BIG = f"""WITH {GRAY}, e AS (SELECT glyph, y * 4 + dy AS y, (x * 4 + dx + 1) % 32 AS x, ink FROM g, (SELECT unnest(range(0, 4)) AS dy), (SELECT unnest(range(0, 4)) AS dx))"""
 
 
+def _radial() -> list[tuple[int, int, int, int]]:
+    """(n, |m|, power, coefficient) of the radial polynomials."""
+    f = math.factorial
+    return [(n, m, n - 2 * k, (-1) ** k * f(n - k) // (f(k) * f((n + m) // 2 - k) * f((n - m) // 2 - k))) for n in range(9) for m in range(n % 2, n + 1, 2) for k in range((n - m) // 2 + 1)]
+
+
 def _near(source: str, r1: int, r2: int, value: str) -> str:
     return f"SELECT a.glyph, a.y, a.x, b.{value} AS near FROM {source} a JOIN {source} b ON a.glyph = b.glyph AND b.y - a.y BETWEEN {r1} AND {r2} AND b.x - a.x BETWEEN {r1} AND {r2}"
 
@@ -140,8 +149,8 @@ SQL = {
     "dot_clusters": f"{DOTS} SELECT glyph, round(cx, 6) AS cx, round(cy, 6) AS cy, size, position FROM cp",
     "dot_char_assignment": f"""{DOTS}, bx(char, x1, x2) AS (VALUES (0, 4, 8), (1, 0, 4)) SELECT glyph, round(cx, 6) AS cx, round(cy, 6) AS cy, size, position, char
 FROM (SELECT *, abs(cx - (x1 + x2) / 2) AS d FROM cp, bx) WHERE d <= 4 QUALIFY row_number() OVER (PARTITION BY glyph, cx, cy ORDER BY d, char) = 1""",
-    "dot_feature_vector": f"""{DOTS} SELECT glyph, CAST(sum(CASE WHEN position = 'above' THEN size ELSE 0 END) AS BIGINT) AS above, CAST(sum(CASE WHEN position = 'below' THEN size ELSE 0 END) AS BIGINT) AS below,
-1 AS has_any, round(CASE WHEN count(*) > 1 THEN stddev_pop(cx) ELSE 0 END, 6) AS spread FROM cp GROUP BY glyph""",
+    "dot_feature_vector": f"""{DOTS} SELECT e.glyph, CAST(coalesce(sum(CASE WHEN position = 'above' THEN size ELSE 0 END), 0) AS BIGINT) AS above, CAST(coalesce(sum(CASE WHEN position = 'below' THEN size ELSE 0 END), 0) AS BIGINT) AS below,
+CAST(count(size) > 0 AS INTEGER) AS has_any, round(CASE WHEN count(size) > 1 THEN stddev_pop(cx) ELSE 0 END, 6) AS spread FROM (SELECT DISTINCT vec_id AS glyph FROM embeddings) e LEFT JOIN cp ON cp.glyph = e.glyph GROUP BY e.glyph""",
     "otsu_threshold": f"""WITH {GRAY}, b AS (SELECT glyph, v, count(*) AS n FROM g GROUP BY glyph, v),
 s AS (SELECT *, sum(n) OVER (PARTITION BY glyph ORDER BY v) AS w0, sum(n * v) OVER (PARTITION BY glyph ORDER BY v) AS s0, sum(n) OVER (PARTITION BY glyph) AS w, sum(n * v) OVER (PARTITION BY glyph) AS s FROM b),
 t AS (SELECT glyph, v AS threshold FROM (SELECT *, round(CASE WHEN w = w0 THEN 0 ELSE w0 * (w - w0) * (s0 / w0 - (s - s0) / (w - w0)) ** 2 END, 6) AS q FROM s) QUALIFY row_number() OVER (PARTITION BY glyph ORDER BY q DESC, v) = 1)
@@ -151,6 +160,11 @@ SELECT glyph, CAST(sum(d) AS BIGINT) AS n_dark, CAST(sum(d * (y * 8 + x)) AS BIG
     "morphology_2x2": f"""WITH {GRAY}, n AS ({_near("g", -1, 0, "ink")}), e AS (SELECT glyph, y, x, min(near) AS eroded FROM n GROUP BY glyph, y, x),
 m AS ({_near("e", 0, 1, "eroded")}) SELECT glyph, y, x, eroded, opened FROM e JOIN (SELECT glyph, y, x, max(near) AS opened FROM m GROUP BY glyph, y, x) USING (glyph, y, x)""",
     "grid_density": f"{BIG} SELECT glyph, CAST(y // 4 AS INTEGER) AS cy, CAST(x // 4 AS INTEGER) AS cx, round(avg(ink), 6) AS density FROM e GROUP BY glyph, y // 4, x // 4",
+    "zernike_magnitudes": f"""{BIG}, c(n, a, power, k) AS (VALUES {", ".join(map(str, _radial()))}),
+u AS (SELECT glyph, sqrt(((x - 16) / 16.0) ** 2 + ((y - 16) / 16.0) ** 2) AS rho, atan2((y - 16) / 16.0, (x - 16) / 16.0) AS phi FROM e WHERE ink = 1),
+p AS (SELECT glyph, n, a, phi, sum(k * rho ** power) AS r FROM u, c WHERE rho <= 1 GROUP BY glyph, n, a, rho, phi, u.rho),
+s AS (SELECT glyph, n, a, sqrt(sum(r * cos(a * phi)) ** 2 + sum(r * sin(a * phi)) ** 2) * (n + 1) / pi() AS magnitude FROM p GROUP BY glyph, n, a)
+SELECT glyph, n, m, round(magnitude, 6) AS magnitude FROM (SELECT glyph, n, unnest(CASE WHEN a = 0 THEN [0] ELSE [-a, a] END) AS m, magnitude FROM s)""",
     "hog_cell_histogram": f"""WITH {GRAY}, d AS (SELECT glyph, y, x, coalesce(lead(v) OVER r - lag(v) OVER r, 0)::DOUBLE AS gx, coalesce(lead(v) OVER c - lag(v) OVER c, 0)::DOUBLE AS gy FROM g
     WINDOW r AS (PARTITION BY glyph, y ORDER BY x), c AS (PARTITION BY glyph, x ORDER BY y)),
 a AS (SELECT *, degrees(atan2(gy, gx)) AS t, sqrt(gx * gx + gy * gy) AS m FROM d),
