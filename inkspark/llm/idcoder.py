@@ -1,7 +1,8 @@
 """An adaptive context-mixing range coder for token ids.
 
 Ids are coded in blocks of ``BLOCK``; every block starts from the same state and has a CRC-32 of its ids, so a damaged
-block is noticed and the others stay readable. In a block, each id is predicted by three orders:
+block is noticed and the others stay readable, alone or together (``decode_blocks``); the record's table of frequencies,
+which all its blocks need, has the checksum of its own zlib stream. In a block, each id is predicted by three orders:
 
 * order 2 and order 1: the id that last followed the two ids, or the one id, before it, with a count of how often it held;
 * order 0: the id frequencies of the record that the block lies in, sent ahead.
@@ -198,9 +199,9 @@ def _step(lanes: Lanes, coder: Encoder, m: int, ids: np.ndarray | None, symbols:
     return out
 
 
-def _active(n: int, blocks: int, step: int) -> int:
-    """Lanes that still have an id at a step: all, but for a shorter last block."""
-    return blocks if (blocks - 1) * BLOCK + step < n else blocks - 1
+def _lengths(n: int) -> np.ndarray:
+    """Ids of each block: BLOCK, but for a shorter last one."""
+    return np.minimum(BLOCK, n - np.arange(0, n, BLOCK))
 
 
 def encode(ids: np.ndarray) -> bytes:
@@ -215,9 +216,9 @@ def encode(ids: np.ndarray) -> bytes:
     coder, lanes = Encoder(blocks, steps), Lanes(blocks, zero)
     padded = np.zeros(blocks * BLOCK, np.int64)
     padded[:n] = ids
-    columns = padded.reshape(blocks, BLOCK).T.copy()
+    columns, lengths = padded.reshape(blocks, BLOCK).T.copy(), _lengths(n)
     for step in range(steps):
-        m = _active(n, blocks, step)
+        m = int((lengths > step).sum())
         _step(lanes, coder, m, columns[step, :m], None)
     coder.finish()
     sums = [zlib.crc32(ids[a : a + BLOCK].astype("<u4").tobytes()) for a in range(0, n, BLOCK)]
@@ -226,28 +227,48 @@ def encode(ids: np.ndarray) -> bytes:
     return head + table + np.array([coder.size, sums], "<u4").reshape(2, blocks).tobytes() + b"".join(words)
 
 
-def decode(record: bytes) -> np.ndarray:
-    """The ids of a record; ValueError where a block's checksum or the record's form is wrong."""
+def decode_blocks(record: bytes, which: list[int] | None = None) -> dict[int, np.ndarray | None]:
+    """The ids of some blocks of a record (default: all), by number; None for a block whose checksum is wrong.
+
+    Blocks are read independently of each other. ValueError where the record's form or its table is damaged.
+    """
+    head = struct.calcsize("<4sQIII")
+    if len(record) < head:
+        raise ValueError("a record of ids is cut short")
     magic, n, blocks, table_size, kinds = struct.unpack_from("<4sQIII", record)
-    if magic != MAGIC:
+    if magic != MAGIC or blocks != -(-n // BLOCK):
         raise ValueError("not a record of ids")
-    at = struct.calcsize("<4sQIII")
-    table = np.frombuffer(zlib.decompress(record[at : at + table_size]), "<u4").astype(np.int64)
-    zero = OrderZero(np.cumsum(table[:kinds]), table[kinds:])
-    at += table_size
+    try:
+        table = np.frombuffer(zlib.decompress(record[head : head + table_size]), "<u4").astype(np.int64)
+    except zlib.error as damage:
+        raise ValueError("the table of a record of ids is damaged") from damage
+    if len(table) != 2 * kinds or len(record) < head + table_size + 8 * blocks:
+        raise ValueError("a record of ids is cut short")
+    at = head + table_size
     sizes, sums = np.frombuffer(record, "<u4", 2 * blocks, at).reshape(2, blocks).astype(np.int64)
-    words = np.frombuffer(record, "<u2", -1, at + 8 * blocks)
-    if int(sizes.sum()) != len(words):
+    if len(record) != at + 8 * blocks + 2 * int(sizes.sum()):
         raise ValueError("a record of ids is cut short")
-    if not n:
-        return np.zeros(0, np.int64)
-    coder, lanes, symbols = Decoder(words, np.cumsum(sizes) - sizes), Lanes(blocks, zero), zero.symbols()
-    columns = np.zeros((min(n, BLOCK), blocks), np.int64)
+    chosen = np.array(sorted(range(blocks) if which is None else set(which)), np.int64)  # the shorter block comes last
+    if not len(chosen):
+        return {}
+    words, zero = np.frombuffer(record, "<u2", -1, at + 8 * blocks), OrderZero(np.cumsum(table[:kinds]), table[kinds:])
+    coder, lanes, symbols = Decoder(words, (np.cumsum(sizes) - sizes)[chosen]), Lanes(len(chosen), zero), zero.symbols()
+    lengths = _lengths(n)[chosen]
+    columns = np.zeros((int(lengths[0]), len(chosen)), np.int64)
     for step in range(len(columns)):
-        m = _active(n, blocks, step)
+        m = int((lengths > step).sum())
         columns[step, :m] = _step(lanes, coder, m, None, symbols)
-    ids = columns.T.reshape(-1)[:n] if len(columns) == BLOCK else columns[:, 0]
-    for k, a in enumerate(range(0, n, BLOCK)):
-        if zlib.crc32(ids[a : a + BLOCK].astype("<u4").tobytes()) != sums[k]:
+    out: dict[int, np.ndarray | None] = {}
+    for place, k in enumerate(chosen.tolist()):
+        ids = columns[: lengths[place], place]
+        out[k] = ids if zlib.crc32(ids.astype("<u4").tobytes()) == sums[k] else None
+    return out
+
+
+def decode(record: bytes) -> np.ndarray:
+    """The ids of a record; ValueError where a block's checksum, the table or the record's form is wrong."""
+    blocks = decode_blocks(record)
+    for k, ids in blocks.items():
+        if ids is None:
             raise ValueError(f"block {k} of a record of ids is damaged")
-    return ids
+    return np.concatenate(list(blocks.values())) if blocks else np.zeros(0, np.int64)

@@ -36,6 +36,25 @@ def test_idcoder_finds_damage():
         idcoder.encode(np.array([70000]))
 
 
+def test_idcoder_reads_blocks_alone_and_around_damage():
+    ids = np.random.default_rng(1).integers(0, 500, 3 * idcoder.BLOCK + 100)
+    data = idcoder.encode(ids)
+    cut = lambda k: ids[k * idcoder.BLOCK : (k + 1) * idcoder.BLOCK]
+    for which in ([0], [3], [1, 3], [2, 0]):
+        got = idcoder.decode_blocks(data, which)
+        assert sorted(got) == sorted(which) and all((got[k] == cut(k)).all() for k in which)
+    assert idcoder.decode_blocks(data, []) == {}
+    harmed = bytearray(data)
+    harmed[-9] ^= 0x55  # in the last block
+    got = idcoder.decode_blocks(bytes(harmed))
+    assert got[3] is None and all((got[k] == cut(k)).all() for k in range(3))
+    harmed = bytearray(data)
+    harmed[40] ^= 0x55  # in the table
+    for bad in (bytes(harmed), data[:-2], data[:20], b"XXXX" + data[4:]):
+        with pytest.raises(ValueError):
+            idcoder.decode_blocks(bad)
+
+
 def test_idcoder_uses_context():
     ids = np.tile(np.random.default_rng(2).integers(0, 40000, 64), 200)
     assert len(idcoder.encode(ids)) < len(ids)  # under 8 bits an id, where order 0 takes 6 and a repeat takes almost none
