@@ -6,8 +6,6 @@ from inkspark.plans import registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "documents pages embeddings benchmark".split()
-#: Queries that share their stages with a later one in the same list.
-SLOW = {"gaussian_smooth", "line_bands", "paw_segments_rtl", "column_valleys", "paw_diagnostics", "char_boxes_multiscale"}
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +21,7 @@ def _plain(rows):
     return sorted(tuple(map(cell, r)) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_against_sql(spark, duck, name):
     got = registry.QUERIES[name](spark, SF)
     columns = sorted(got.columns)
@@ -31,5 +29,20 @@ def test_against_sql(spark, duck, name):
     assert _plain(map(tuple, got.select(*columns).collect())) == _plain(want)
 
 
+def test_boxes_of_the_raster(spark):
+    """Boxes without SQL: they tile their piece right to left, and the reports over them add up."""
+    boxes = {}
+    for r in registry.QUERIES["char_boxes_multiscale"](spark, SF).collect():
+        boxes.setdefault((r.page, r.line, r.paw), []).append((r.char, r.x1, r.x2))
+    for own in boxes.values():
+        own.sort()
+        assert [c for c, *_ in own] == list(range(len(own))) and own[-1][1] == 0
+        assert all(left[2] == right[1] for right, left in zip(own, own[1:], strict=False))
+    report = {(r.page, r.line, r.paw): r.n for r in registry.QUERIES["paw_diagnostics"](spark, SF).collect()}
+    assert report == {k: len(v) for k, v in boxes.items()}
+    counts = {(r.page, r.line): (r.n_chars, r.n_pieces) for r in registry.QUERIES["piece_counts"](spark, SF).collect()}
+    assert counts[None, None] == (sum(map(len, boxes.values())), len(boxes))
+
+
 def test_every_sql_has_a_query():
     assert set(registry.SQL) <= set(registry.QUERIES)
