@@ -12,10 +12,36 @@ TATWEEL = "ـ"
 POSITIONS = {"isolated": "Isolated", "initial": "Start", "medial": "Middle", "final": "End"}
 
 # Letter names with all four forms, their character, dots above and below.
-LETTERS = """
-Alef ا 0 0|Baa ب 0 1|Taa ت 2 0|Thaa ث 3 0|Jeem ج 0 1|Haa ح 0 0|Khaa خ 1 0|Dal د 0 0|Thal ذ 1 0|Raa ر 0 0|Zain ز 1 0|Seen س 0 0|Sheen ش 3 0|Saad ص 0 0
-Daad ض 1 0|Ttaa ط 0 0|Dhaa ظ 1 0|Ain ع 0 0|Ghain غ 1 0|Faa ف 1 0|Qaaf ق 2 0|Kaf ك 0 0|Lam ل 0 0|Meem م 0 0|Noon ن 1 0|Heh ه 0 0|Waw و 0 0|Yaa ي 0 2
-"""
+LETTERS = [
+    ("Alef", "ا", 0, 0),
+    ("Baa", "ب", 0, 1),
+    ("Taa", "ت", 2, 0),
+    ("Thaa", "ث", 3, 0),
+    ("Jeem", "ج", 0, 1),
+    ("Haa", "ح", 0, 0),
+    ("Khaa", "خ", 1, 0),
+    ("Dal", "د", 0, 0),
+    ("Thal", "ذ", 1, 0),
+    ("Raa", "ر", 0, 0),
+    ("Zain", "ز", 1, 0),
+    ("Seen", "س", 0, 0),
+    ("Sheen", "ش", 3, 0),
+    ("Saad", "ص", 0, 0),
+    ("Daad", "ض", 1, 0),
+    ("Ttaa", "ط", 0, 0),
+    ("Dhaa", "ظ", 1, 0),
+    ("Ain", "ع", 0, 0),
+    ("Ghain", "غ", 1, 0),
+    ("Faa", "ف", 1, 0),
+    ("Qaaf", "ق", 2, 0),
+    ("Kaf", "ك", 0, 0),
+    ("Lam", "ل", 0, 0),
+    ("Meem", "م", 0, 0),
+    ("Noon", "ن", 1, 0),
+    ("Heh", "ه", 0, 0),
+    ("Waw", "و", 0, 0),
+    ("Yaa", "ي", 0, 2),
+]
 
 # Names with some forms only, their character without joining strokes.
 PARTIAL = {
@@ -39,23 +65,83 @@ UNJOINED = ("Teh_Marbuta", "Ta_Marbuta", "Laa", "Lam_Alf_Mad", "Lam_Alf_Hamza")
 # Dots above and below of further names.
 OTHER_DOTS = {"Hamza": (0, 0), "Alef_Hamza_Above": (0, 0), "Alef_Hamza_Below": (0, 0), "Alef_Madda": (0, 0), "Waw_Hamza": (0, 0), "Alef_Wasla": (0, 0), "Laa": (0, 0), "Teh_Marbuta": (2, 0), "Yeh_Hamza": (0, 2)}
 # Digit names.
-DIGITS = "Zero One Two Three Four Five Six Seven Eight Nine".split()
+DIGITS = ["Zero", "One", "Two", "Three", "Four", "Five", "Six", "Seven", "Eight", "Nine"]
 
 # Other spellings of letter names.
-ALIASES = dict(
-    pair.split("=")
-    for pair in """Ba=Baa Ta=Taa Tha=Thaa Gem=Jeem Gen=Ghain Ha=Heh Kha=Khaa Jim=Jeem Dhal=Thal Ra=Raa Sin=Seen Shin=Sheen Sad=Saad Dad=Daad Tah=Ttaa Zah=Dhaa Fa=Faa Qaf=Qaaf
-    Mim=Meem Mem=Meem Nun=Noon Ya=Yaa Ye=Yaa Alf=Alef Zal=Thal Geem=Jeem Dha=Dhaa Yeh=Yaa Non=Noon Wow=Waw Kef=Kaf Laam=Lam Shen=Sheen Zin=Zain Yaa_Dot=Yaa Lam_Alf=Laa
-    Alf_Hamza_Under=Alef_Hamza_Below Alf_Hamza_Above=Alef_Hamza_Above""".split()
-)
+ALIASES = {
+    "Ba": "Baa",
+    "Ta": "Taa",
+    "Tha": "Thaa",
+    "Gem": "Jeem",
+    "Gen": "Ghain",
+    "Ha": "Heh",
+    "Kha": "Khaa",
+    "Jim": "Jeem",
+    "Dhal": "Thal",
+    "Ra": "Raa",
+    "Sin": "Seen",
+    "Shin": "Sheen",
+    "Sad": "Saad",
+    "Dad": "Daad",
+    "Tah": "Ttaa",
+    "Zah": "Dhaa",
+    "Fa": "Faa",
+    "Qaf": "Qaaf",
+    "Mim": "Meem",
+    "Mem": "Meem",
+    "Nun": "Noon",
+    "Ya": "Yaa",
+    "Ye": "Yaa",
+    "Alf": "Alef",
+    "Zal": "Thal",
+    "Geem": "Jeem",
+    "Dha": "Dhaa",
+    "Yeh": "Yaa",
+    "Non": "Noon",
+    "Wow": "Waw",
+    "Kef": "Kaf",
+    "Laam": "Lam",
+    "Shen": "Sheen",
+    "Zin": "Zain",
+    "Yaa_Dot": "Yaa",
+    "Lam_Alf": "Laa",
+    "Alf_Hamza_Under": "Alef_Hamza_Below",
+    "Alf_Hamza_Above": "Alef_Hamza_Above",
+}
 # The aliases that have no expected dots of their own.
 DOTLESS_ALIASES = ("Lam_Alf", "Alf_Hamza_Under", "Alf_Hamza_Above")
 
 # Letter of a dotless body by its dots above and below.
-BODIES = """
-ba 0 1 ب|ba 2 0 ت|ba 3 0 ث|nun 1 0 ن|ya 0 2 ي|haa 0 0 ح|haa 0 1 ج|haa 1 0 خ|dal 0 0 د|dal 1 0 ذ|ra 0 0 ر|ra 1 0 ز|sin 0 0 س|sin 3 0 ش
-sad 0 0 ص|sad 1 0 ض|ta 0 0 ط|ta 1 0 ظ|ayn 0 0 ع|ayn 1 0 غ|fa 1 0 ف|qa 2 0 ق|alef 0 0 ا|lam 0 0 ل|mim 0 0 م|ha 0 0 ه|waw 0 0 و|kaf 0 0 ك
-"""
+BODIES = [
+    ("ba", 0, 1, "ب"),
+    ("ba", 2, 0, "ت"),
+    ("ba", 3, 0, "ث"),
+    ("nun", 1, 0, "ن"),
+    ("ya", 0, 2, "ي"),
+    ("haa", 0, 0, "ح"),
+    ("haa", 0, 1, "ج"),
+    ("haa", 1, 0, "خ"),
+    ("dal", 0, 0, "د"),
+    ("dal", 1, 0, "ذ"),
+    ("ra", 0, 0, "ر"),
+    ("ra", 1, 0, "ز"),
+    ("sin", 0, 0, "س"),
+    ("sin", 3, 0, "ش"),
+    ("sad", 0, 0, "ص"),
+    ("sad", 1, 0, "ض"),
+    ("ta", 0, 0, "ط"),
+    ("ta", 1, 0, "ظ"),
+    ("ayn", 0, 0, "ع"),
+    ("ayn", 1, 0, "غ"),
+    ("fa", 1, 0, "ف"),
+    ("qa", 2, 0, "ق"),
+    ("alef", 0, 0, "ا"),
+    ("lam", 0, 0, "ل"),
+    ("mim", 0, 0, "م"),
+    ("ha", 0, 0, "ه"),
+    ("waw", 0, 0, "و"),
+    ("kaf", 0, 0, "ك"),
+]
 # Training labels of equal glyphs.
 TRAINING_SYNONYMS = {
     "Ta_Marbuta_Isolated": "Teh_Marbuta_Isolated",
@@ -64,10 +150,6 @@ TRAINING_SYNONYMS = {
 }
 
 
-def _rows(text: str) -> list[list[str]]:
-    return [row.split() for line in text.strip().splitlines() for row in line.split("|")]
-
-
 def _form(char: str, suffix: str, joined: bool = True) -> str:
     """A character with the strokes that join it to its neighbours."""
     left = TATWEEL if joined and suffix in ("Middle", "End") else ""
@@ -76,7 +158,7 @@ def _form(char: str, suffix: str, joined: bool = True) -> str:
 
 def label_table() -> dict[str, str]:
     """Label to character with joining strokes, aliases included where the canonical label exists and the alias doesn't."""
-    out = {f"{name}_{suffix}": _form(char, suffix) for name, char, *_ in _rows(LETTERS) for suffix in POSITIONS.values()}
+    out = {f"{name}_{suffix}": _form(char, suffix) for name, char, *_ in LETTERS for suffix in POSITIONS.values()}
     out |= {f"{name}_{suffix}": _form(char, suffix, name not in UNJOINED) for name, (char, forms) in PARTIAL.items() for suffix in forms}
     out |= {name: chr(0x660 + k) for k, digit in enumerate(DIGITS) for name in (digit, str(k))}
     extra = {f"{alias}_{suffix}": out[f"{name}_{suffix}"] for (alias, name), suffix in product(ALIASES.items(), POSITIONS.values()) if f"{name}_{suffix}" in out}
@@ -85,7 +167,7 @@ def label_table() -> dict[str, str]:
 
 def dot_table() -> dict[str, tuple[int, int]]:
     """Letter name to the dots expected above and below it."""
-    out = {name: (int(above), int(below)) for name, _, above, below in _rows(LETTERS)} | OTHER_DOTS | dict.fromkeys(DIGITS, (0, 0))
+    out = {name: (above, below) for name, _, above, below in LETTERS} | OTHER_DOTS | dict.fromkeys(DIGITS, (0, 0))
     return {alias: out[name] for alias, name in ALIASES.items() if alias not in DOTLESS_ALIASES} | out
 
 
@@ -106,7 +188,7 @@ def label_dim(spark: SparkSession) -> DataFrame:
 
 
 def body_rows() -> list[tuple[str, int, int, str]]:
-    return [(body, int(above), int(below), letter) for body, above, below, letter in _rows(BODIES)]
+    return list(BODIES)
 
 
 def body_dim(spark: SparkSession) -> DataFrame:

@@ -6,12 +6,14 @@ import numpy as np
 import pytest
 from inkspark.config import Config
 from inkspark.functions import labels as L
+from inkspark.functions import text as X
 from inkspark.kernels import page as K
 from inkspark.kernels import png
 from inkspark.operators import augment, inspect, jobs
 from inkspark.operators import corpus as C
 from inkspark.operators import glyphs as G
 from inkspark.operators import models as M
+from inkspark.operators import pages as P
 from inkspark.operators import recognise as R
 from inkspark.plans import recognise
 from inkspark.sources import files
@@ -153,6 +155,14 @@ def test_comparison_of_variants(spark):
     assert inspect.first_candidates(ranked).count() == 10
 
 
+def test_boxes_and_script(spark):
+    boxes = spark.createDataFrame([(1, 5, 1, 9, 9, 20, 30), (1, 8, 0, 19, 7, 20, 30)], "paw int, x1 int, y1 int, x2 int, y2 int, page_width int, page_height int")
+    assert [tuple(r)[1:5] for r in P.region(boxes).orderBy("x1").collect()] == [(3, 0, 11, 11), (6, 0, 20, 9)]
+    assert tuple(P.piece_boxes(boxes, ["paw"]).first()) == (1, 5, 0, 19, 9)
+    chars = spark.createDataFrame([("\u0628",), ("b",), ("\u0600",), ("\u0700",), (None,)], "c string")
+    assert [r[0] for r in chars.select(X.in_script(F.col("c"), Config().script)).collect()] == [True, False, True, False, None]
+
+
 def test_dot_features_of_glyphs_without_dots(spark):
     clusters = spark.createDataFrame([(1, 10.0, 2, "above"), (1, 15.0, 1, "below")], "glyph long, cx double, size int, position string")
     got = {r.glyph: tuple(r)[1:] for r in G.dot_features(clusters, ["glyph"], spark.createDataFrame([(1,), (2,)], "glyph long")).collect()}
