@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,17 +29,20 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, memoryview]:
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", least: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of about ``least`` bytes of text; a longer row comes alone, whole."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        column = batch.column(batch.schema.get_field_index(text))
-        size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        at, done = 0, 0
-        while at < batch.num_rows:
-            end = max(at + 1, int(np.searchsorted(size, done + least, "right")))
-            yield batch.slice(at, end - at)
-            at, done = end, int(size[end - 1])
+    """The same rows in slices of about ``least`` bytes of text; a longer row comes alone, whole. Ends with ``trim``."""
+    try:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = batch.column(batch.schema.get_field_index(text))
+            size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at, done = 0, 0
+            while at < batch.num_rows:
+                end = max(at + 1, int(np.searchsorted(size, done + least, "right")))
+                yield batch.slice(at, end - at)
+                at, done = end, int(size[end - 1])
+    finally:
+        trim()
 
 
 def code_points(data: np.ndarray) -> np.ndarray:
@@ -48,14 +52,23 @@ def code_points(data: np.ndarray) -> np.ndarray:
     return out
 
 
-#: Rows that travel to a Python worker together; texts are long, so fewer than the session's default.
-BATCH_ROWS = 2000
+#: Rows, and bytes of rows, that travel to a Python worker together; texts are long, so both are below the session's defaults.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """df, after lowering its session's rows per Arrow batch to BATCH_ROWS: this bounds what a worker and its JVM hold."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(df.sparkSession.conf.get(key))
-    if now <= 0 or now > BATCH_ROWS:
-        df.sparkSession.conf.set(key, BATCH_ROWS)
+    """df, after lowering its session's rows and bytes per Arrow batch: this bounds what a worker and its JVM hold."""
+    conf = df.sparkSession.conf
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = int(str(conf.get(key)).rstrip("bB"))
+        if now <= 0 or now > most:
+            conf.set(key, most)
     return df
+
+
+def trim() -> None:
+    """Give freed memory back to the system; called when a task ends, since Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if give := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        give(0)

@@ -16,6 +16,8 @@ import numpy as np
 
 from tokenizers import Tokenizer
 
+from ._arrow import trim
+
 #: Bytes of a process's memo at which it is emptied; an entry takes ENTRY_BYTES besides its letters and ids.
 MEMO_BYTES, ENTRY_BYTES = 96 << 20, 200
 #: Characters of a text that are cut into chunks together: a longer text is encoded in parts of about so many.
@@ -23,6 +25,8 @@ PART_CHARS = 1 << 18
 ID_BYTES = 4
 #: Bytes of text that are encoded together: new chunks are found once for all of them.
 ENCODE_BYTES = 4 << 20
+#: Chunks that the library encodes together; its results take some hundred bytes each.
+BATCH_CHUNKS = 4096
 
 
 def _byte_letters() -> dict[int, str]:
@@ -59,8 +63,8 @@ class ChunkEncoder:
         self.ends = {c: self._whole([c])[0] for c in ".,"}
 
     def _whole(self, chunks: list[str]) -> list[bytes]:
-        got = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in got]
+        cut = (chunks[k : k + BATCH_CHUNKS] for k in range(0, len(chunks), BATCH_CHUNKS))
+        return [np.array(x.ids, "<u4").tobytes() for c in cut for x in self.tokenizer.encode_batch_fast(c, add_special_tokens=False)]
 
     def _word(self, word: str) -> bytes:
         word = word.lower()
@@ -122,3 +126,4 @@ def release() -> None:
     """Give up the process's memos; called when a task ends."""
     for held in _ENCODERS.values():
         held.clear()
+    trim()

@@ -23,6 +23,8 @@ from ._tokens import ENCODE_BYTES, ID_BYTES, encoder, release
 SIZE = 4096
 END_ID = 2
 GROUP_DOCS, GROUP_BYTES = 1024, 8 << 20
+#: Bytes of ids that a worker hands back together; a group has some times as many.
+OUT_BYTES = 2 << 20
 #: (row, start, length): a stretch of a document's ids.
 Piece = tuple[int, int, int]
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -111,15 +113,25 @@ def pack(lengths: list[int], size: int = SIZE) -> list[list[Piece]]:
     return whole + bins
 
 
-def _pieces(group: int, names: list[int | None], ids: list[bytes], size: int) -> pa.RecordBatch:
-    lengths, out = [len(x) // ID_BYTES for x in ids], []
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
+
+
+def _pieces(group: int, names: list[int | None], ids: list[bytes], size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a group's pieces, in batches of about OUT_BYTES."""
+    lengths, out, held = [len(x) // ID_BYTES for x in ids], [], 0
     for nth, sequence in enumerate(pack(lengths, size)):
         at = 0
         for row, start, n in sequence:
             out.append((names[row], start, n, ids[row][start * ID_BYTES : (start + n) * ID_BYTES], lengths[row], (group << 32) + nth, at))
             at += n
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
+        held += at * ID_BYTES
+        if held >= OUT_BYTES:
+            yield _batch(out)
+            out, held = [], 0
+    if out:
+        yield _batch(out)
 
 
 def packed(
@@ -153,13 +165,13 @@ def packed(
                 texts = encoder(tokenizer).encode([t or "" for t in part.column(1).to_pylist()])
                 for group, name, own in zip(part.column(2).to_pylist(), part.column(0).to_pylist(), texts, strict=True):
                     if group != now and ids:
-                        yield _pieces(now, names, ids, size)
+                        yield from _pieces(now, names, ids, size)
                         names, ids = [], []
                     now = group
                     names.append(name)
                     ids.append(own + end)
             if ids:
-                yield _pieces(now, names, ids, size)
+                yield from _pieces(now, names, ids, size)
         finally:
             release()
 
