@@ -109,7 +109,7 @@ def near_pairs(prints: DataFrame, distance: int = 2) -> DataFrame:
     home = prints.selectExpr("fp", "node", f"explode(array({', '.join(h for h, _ in sides)})) AS anchor")
     visit = prints.selectExpr("fp", "node", f"explode(concat({', '.join(v for _, v in sides)})) AS anchor")
     home, visit = home.toDF("fp_a", "node_a", "anchor"), visit.toDF("fp_b", "node_b", "anchor")
-    pairs = home.join(visit, "anchor").where(f"node_a <> node_b AND bit_count(fp_a ^ fp_b) BETWEEN 1 AND {distance}")
+    pairs = home.join(visit.hint("merge"), "anchor").where(f"node_a <> node_b AND bit_count(fp_a ^ fp_b) BETWEEN 1 AND {distance}")
     return pairs.selectExpr("least(node_a, node_b) AS a", "greatest(node_a, node_b) AS b").distinct()
 
 
@@ -118,7 +118,7 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = stash(fingerprint_table(docs, id_col, text_col, shingle), "fingerprints")
     prints = stash(rows.select("fp").distinct().withColumn("node", F.col("fp")), "prints")
     roots = stash(components(near_pairs(prints, distance)).select(F.col("node").alias("fp"), "root"), "roots")
-    return rows.join(roots, "fp", "left").select("doc_id", "fp", "mark", F.coalesce("root", "fp").alias("root"))
+    return rows.join(roots.hint("merge"), "fp", "left").select("doc_id", "fp", "mark", F.coalesce("root", "fp").alias("root"))
 
 
 def simhash_groups(
@@ -132,4 +132,4 @@ def simhash_groups(
     """
     rows = stash(simhash_classes(docs, id_col, text_col, shingle, distance), "classes")
     least = stash(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
-    return rows.join(least, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(least.hint("merge"), "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

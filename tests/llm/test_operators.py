@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import random
 import re
 import zlib
 
@@ -120,6 +121,31 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("most", [0, components.TASK_LINKS])
+def test_components_by_rounds_and_in_a_task(spark, monkeypatch, most):
+    monkeypatch.setattr(components, "TASK_LINKS", most)
+    draw = random.Random(3)
+    edges = [(draw.randrange(-300, 300), draw.randrange(-300, 300)) for _ in range(260)] + [(k, k - 1) for k in range(1000, 1100)]
+    root = {k: k for e in edges for k in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    links = spark.createDataFrame(edges, "a long, b long")
+    got = components.components(links).collect()
+    linked = {k for a, b in edges if a != b for k in (a, b)}
+    assert len(got) == len(linked) and {r.node: r.root for r in got} == {k: root[k] for k in linked}
+
+
+def test_groups_are_joined_without_broadcast(docs, spark):
+    """The driver would hold what is broadcast, at any setting of the session's threshold."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        plans = [simhash.simhash_groups(docs), components._small_star(spark.createDataFrame([(1, 2)], "a long, b long"))]
+        assert not any("Broadcast" in p._jdf.queryExecution().executedPlan().toString() for p in plans)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_simhash_groups(docs, nothing):
     got = simhash.simhash_groups(docs).collect()
     assert len(got) == len(TEXTS)
