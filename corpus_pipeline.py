@@ -49,7 +49,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     with equal doc_id and text one stays. Texts without words are one group."""
     rows = stash(keyed(simhash.simhash_classes(docs)).select("root", F.struct(*KEY).alias("key")), "classes")
     first = stash(rows.groupBy("root").agg(F.min("key").alias("first")), "first")
-    told = rows.join(first, "root")
+    told = rows.join(first.hint("merge"), "root")
     kept = without(keyed(docs), told.where("key <> first").select("key.*"), KEY)
     twice = stash(told.where("key = first").groupBy("key").count().where("count > 1").select("key.*"), "twice")
     if not twice.isEmpty():
