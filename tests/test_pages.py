@@ -262,3 +262,75 @@ def test_classifier(spark, tmp_path, kind):
     assert again.top_k(frame, ["id"], 1).count() == 120
     with pytest.raises(ValueError):
         M.Classifier("none")
+
+
+def _plain_tree(x, y, classes, seed):
+    """The tree of ``kernels.forest.grow``, node by node from its definition: shares of classes of each row of x."""
+    draw, (n, d) = np.random.default_rng(seed), x.shape
+    weights = np.bincount(draw.integers(0, n, n), minlength=n)
+    level, out, open_rows = [(np.flatnonzero(weights), np.arange(n))], np.zeros((n, classes)), True
+    while level and open_rows:
+        tables = [np.bincount(y[bag], weights[bag], classes) for bag, _ in level]
+        mixed = [k for k, t in enumerate(tables) if (t > 0).sum() > 1]
+        turns = dict(zip(mixed, np.argsort(draw.random((len(mixed), d), np.float32), axis=1), strict=True)) if mixed else {}
+        below = []
+        for k, (bag, walkers) in enumerate(level):
+            best = None
+            for turn, f in enumerate(turns.get(k, [])):
+                if turn >= max(1, int(d**0.5)) and best:
+                    break
+                known = np.unique(x[bag, f])
+                for low, high in zip(known, known[1:], strict=False):
+                    sides = [np.bincount(y[s], weights[s], classes) for s in (bag[x[bag, f] <= low], bag[x[bag, f] > low])]
+                    score = sum((s**2).sum() / s.sum() for s in sides)
+                    if best is None or score > best[0]:
+                        best = (score, f, np.float32((float(low) + float(high)) / 2))
+            if best is None:
+                out[walkers] = tables[k] / tables[k].sum()
+                continue
+            for side in (False, True):
+                below.append(tuple(r[(x[r, best[1]] > best[2]) == side] for r in (bag, walkers)))
+        level = below
+    return out
+
+
+@pytest.mark.parametrize("steps", [0, 3])
+def test_forest_kernel_by_definition(steps):
+    from inkspark.kernels import forest as K
+
+    r = np.random.default_rng(steps)
+    x = r.normal(0, 1, (90, 5)) if not steps else r.integers(0, steps, (90, 5))  # ties, constant draws, equal rows
+    x, y = K.finite(x), r.integers(0, 4, 90)
+    for k in range(6):
+        tree = K.Tree.unpack(K.grow(*K.ranked(x), y, 4, [7, k]).pack())
+        votes = np.zeros((90, 4))
+        K.add_votes(votes, x, tree)
+        assert votes == pytest.approx(_plain_tree(x, y, 4, [7, k]))
+    odd = K.finite(np.array([[np.nan], [np.inf], [-np.inf], [3e38], [-3e38], [1.0], [np.nextafter(np.float32(1), 2)]]))
+    tree, votes = K.grow(*K.ranked(odd), np.array([0, 0, 1, 2, 3, 4, 5]), 6, [0, 0]), np.zeros((7, 6))
+    K.add_votes(votes, odd, tree)
+    assert votes.sum(1) == pytest.approx(np.ones(7)) and (votes[0] == votes[1]).all()
+
+
+def test_forest_in_tasks(spark, tmp_path, monkeypatch):
+    """Trees grow in tasks without MLlib, whatever the rows' order, and are asked in groups; all of them vote."""
+    from inkspark.operators import forest
+
+    r = np.random.default_rng(1)
+    rows = [(k, str(k % 3), (r.normal(0, 0.9, 6) + np.eye(6)[k % 3]).tolist()) for k in range(120)]
+    schema = "id long, label string, features array<double>"
+    monkeypatch.setattr(M, "Pipeline", None)
+    model = M.Classifier("rf", trees=9).fit(spark.createDataFrame(rows, schema))
+    frame = spark.createDataFrame(rows, schema)
+    told = sorted(map(tuple, model.top_k(frame, ["id"]).collect()))
+    assert spark.read.parquet(model.trees).count() == 9 and all(p * 9 == pytest.approx(round(p * 9)) for *_, p in told)
+    assert [sum(p for k, _, _, p in told if k == i) for i in range(120)] == pytest.approx([1] * 120)
+    monkeypatch.setattr(forest, "GROUP_BYTES", 1)
+    again = M.Classifier("rf", trees=9).fit(spark.createDataFrame(rows[::-1], schema).repartition(3))
+    assert sorted(map(tuple, again.top_k(frame, ["id"]).collect())) == told
+    again.save(str(tmp_path / "m"))
+    loaded = M.Classifier("rf").load(str(tmp_path / "m"), 6)
+    loaded.save(str(tmp_path / "m"))
+    assert sorted(map(tuple, loaded.top_k(frame.drop("label"), ["id"]).collect())) == told
+    with pytest.raises(Exception, match="hasn't 6 values"):
+        model.top_k(spark.createDataFrame([(1, [1.0, None, 0.0, 0.0, 0.0, 0.0])], "id long, features array<double>"), ["id"]).collect()
