@@ -10,7 +10,8 @@ which all its blocks need, has the checksum of its own zlib stream. In a block,
 Whether the order-2 candidate is right, then whether the order-1 candidate is, are binary events; their probability is a
 logistic mix of adaptive estimates from all three orders, with weights that learn after each event. An id that neither
 gives is coded by order 0. All blocks of a record advance together, one id a step, as numpy lanes; arithmetic is on
-integers only, so that decoding repeats encoding bit for bit.
+integers only, so that decoding repeats encoding bit for bit. ``idcoder.java`` holds the same coder for whole records;
+the two change together.
 """
 
 from __future__ import annotations

@@ -1,8 +1,9 @@
 """Token-id files: whole texts as ids in ascending doc_id order, range coded, and read back.
 
 A file row is one record of consecutive documents: ``part`` and ``record`` give its place, ``before`` the ids of its part
-that come earlier, ``docs`` the documents' ids and lengths, ``data`` the coded ids (see idcoder). Documents never span
-records, so records are read back independently; Spark's committed Parquet files carry the rows, on any store.
+that come earlier, ``docs`` the documents' ids and lengths, ``data`` the coded ids (see idcoder, whose coder codes whole
+records in Spark's JVM, see _jvm). Documents never span records, so records are read back independently; Spark's
+committed Parquet files carry the rows, on any store.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import idcoder
+from . import _jvm
 from ._arrow import bounded, chunks
 from ._tokens import ENCODE_BYTES, ID_BYTES, encoder, release
 
@@ -24,6 +25,7 @@ END_ID = 1
 #: A record is closed at so many ids; a longer document is a record by itself.
 RECORD_IDS = 5_000_000
 FILE = "part long, record long, before long, n_ids long, docs binary, data binary"
+_RAW = FILE.replace("data", "ids")
 
 
 def _docs(names: list[int | None], lengths: list[int]) -> bytes:
@@ -56,12 +58,12 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id"
 
         def record() -> pa.RecordBatch:
             ids = np.frombuffer(b"".join(parts), "<u4")
-            row = (TaskContext.get().partitionId(), state[0], state[1], len(ids), _docs(names, lengths), idcoder.encode(ids))
+            row = (TaskContext.get().partitionId(), state[0], state[1], len(ids), _docs(names, lengths), ids.tobytes())
             state[:] = state[0] + 1, state[1] + len(ids)
             for x in (names, parts, lengths):
                 x.clear()
             kinds = [pa.int64()] * 4 + [pa.binary()] * 2
-            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=[c.split()[0] for c in FILE.split(", ")])
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=[c.split()[0] for c in _RAW.split(", ")])
 
         held = 0
         try:
@@ -80,7 +82,9 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id"
         finally:
             release()
 
-    rows.transform(bounded).mapInArrow(run, FILE).write.parquet(path)
+    _jvm.register(docs.sparkSession)
+    coded = rows.transform(bounded).mapInArrow(run, _RAW).withColumn("ids", F.call_function("inkspark_encode_ids", "ids"))
+    coded.withColumnRenamed("ids", "data").write.parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -95,9 +99,9 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, before, docs, data in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for part, before, docs, ids in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 names, lengths = _docs_back(docs)
-                ids, ends = idcoder.decode(data).astype("<u4").tobytes(), np.cumsum(lengths)
+                ends = np.cumsum(lengths)
                 begins = ends - lengths
                 cut = [ids[a * ID_BYTES : b * ID_BYTES] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
@@ -105,6 +109,8 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                     names=["part", "doc_id", "at", "ids", "n_tokens"],
                 )
 
-    decoded = files.select("part", "before", "docs", "data").transform(bounded).mapInArrow(run, "part long, doc_id long, at long, ids binary, n_tokens long")
+    _jvm.register(spark)
+    ids = F.call_function("inkspark_decode_ids", "data").alias("ids")
+    decoded = files.select("part", "before", "docs", ids).transform(bounded).mapInArrow(run, "part long, doc_id long, at long, ids binary, n_tokens long")
     placed = decoded.join(F.broadcast(starts), "part")  # one row a part: at most some thousands
     return placed.select("doc_id", (F.col("part_start") + F.col("at")).alias("start"), "ids", "n_tokens")

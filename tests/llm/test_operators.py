@@ -432,3 +432,33 @@ def test_pipeline(spark, tmp_path):
     pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {p.doc_id for p in pieces} == set(kept["secret_redaction"])
     assert all(zlib.crc32(bytes(p.ids)) == p.ids_crc32 for p in pieces)
+
+
+def test_ids_are_coded_outside_python(spark, tmp_path, monkeypatch):
+    """op1: the JVM's coder writes numpy's records bit for bit and reads them, finds damage, and no task calls numpy's."""
+    from inkspark.llm import _jvm, idcoder
+
+    r = np.random.default_rng(0)
+    kinds = [np.zeros(0, int), np.array([65535]), r.integers(0, 500, 5000), r.integers(0, 1 << 16, 70_000), np.tile(r.integers(0, 300, 700), 20), np.minimum(r.zipf(1.3, 20_000), 49_000)]
+    _jvm.register(spark)
+    frame = spark.createDataFrame([(k, bytearray(x.astype("<u4").tobytes())) for k, x in enumerate(kinds)], "k int, ids binary")
+    for row in frame.selectExpr("k", "ids", "inkspark_encode_ids(ids) AS data").selectExpr("*", "inkspark_decode_ids(data) AS back").collect():
+        assert row.back == row.ids and (idcoder.decode(bytes(row.data)) == kinds[row.k]).all()
+        assert bytes(row.data) == idcoder.encode(kinds[row.k])
+    good = idcoder.encode(kinds[2])
+    for at in (2, 30, len(good) - 3000, len(good) - 20):
+        bad = bytearray(good)
+        bad[at] ^= 1
+        with pytest.raises(Exception, match="damaged|not a record"):
+            spark.createDataFrame([(bad,)], "data binary").selectExpr("inkspark_decode_ids(data)").collect()
+    for bad in (good[:10], good[:-2], good + b"xx"):
+        with pytest.raises(Exception, match="cut short"):
+            spark.createDataFrame([(bytearray(bad),)], "data binary").selectExpr("inkspark_decode_ids(data)").collect()
+    with pytest.raises(Exception, match="16 bits"):
+        spark.createDataFrame([(bytearray(b"\0\0\1\0"),)], "ids binary").selectExpr("inkspark_encode_ids(ids)").collect()
+    path = str(tmp_path / "ids")
+    monkeypatch.setattr(idcoder, "encode", None)
+    monkeypatch.setattr(idcoder, "decode", None)
+    idfiles.write_ids(spark.createDataFrame([(1, "one two"), (2, None)], "doc_id long, text string"), path, PATH)
+    assert [len(x.ids) // 4 == x.n_tokens for x in idfiles.read_ids(spark, path).collect()] == [True, True]
+    assert "inkspark_decode_ids" in idfiles.read_ids(spark, path)._jdf.queryExecution().toString()
