@@ -68,6 +68,28 @@ def test_tokens_equal_the_library():
     assert ChunkEncoder(PATH).encode(texts) == want
 
 
+def test_new_words_go_to_the_library_together():
+    encoder, calls, r = ChunkEncoder(PATH), [], random.Random(3)
+
+    class Counted:
+        def __init__(self, of):
+            self.of = of
+
+        def __getattr__(self, name):
+            calls.append(name)
+            return getattr(self.of, name)
+
+    for name, held in list(vars(encoder).items()):
+        if type(held).__module__.startswith("tokenizers"):
+            setattr(encoder, name, Counted(held))
+    ends = ["", "", ".", ",", "!!", "'", "$$$", "|>", "'s", "9", "\u0301"]
+    words = ["".join(r.choices(LOWER + "AEßéÅñž", k=r.randint(1, 12))) + r.choice(ends) for _ in range(4000)]
+    texts = [" ".join(words[:1000]), "  ", "\n".join(words[1000:]) + " ", " ".join(map(str.upper, words[:50]))]
+    library = Tokenizer.from_file(PATH)
+    assert encoder.encode(texts) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert len(calls) < 40
+
+
 def test_fingerprints():
     texts = [b"", b"  \n", b"one", b"One two", b"a b c d e f g a b c", b"A\x0bB\x0cC\tD", ("x y z " * 30000).encode()]
 
